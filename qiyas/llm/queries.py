@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +18,27 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_packing": op7_packing}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import quality
+    from qiyas.llm.language_id import held_out
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(5, 0)).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.learn(*quality.sample(docs, labels)))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import language_id as lid
+
+    docs = documents(spark, sf_dir)
+    known = lid.learn(docs.where(~lid.held_out(3, 1)))
+    return lid.predict(docs, known).select("doc_id", lid.held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
+    "op7_packing": op7_packing,
+}
 ORACLES: dict[str, str] = {}
