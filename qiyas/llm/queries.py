@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch, so that a batch of long texts fits beside others in an executor.
+BATCH_ROWS = "1000"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -36,9 +41,16 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lid.predict(docs, known).select("doc_id", lid.held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import media
+
+    return media.stored_and_read(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
+    "op8_media": op8_media,
 }
 ORACLES: dict[str, str] = {}
