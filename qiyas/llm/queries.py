@@ -23,6 +23,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import fingerprints
+
+    return fingerprints.fingerprinted(documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from qiyas.llm import quality
     from qiyas.llm.language_id import held_out
@@ -48,6 +54,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": op2_fingerprints,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
