@@ -53,11 +53,18 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_and_read(documents(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import secrets
+
+    return secrets.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_media": op8_media,
+    "op9_secrets": op9_secrets,
 }
 ORACLES: dict[str, str] = {}
