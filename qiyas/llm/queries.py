@@ -29,6 +29,35 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import line_dedup
+
+    kept = line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+with docs as (select doc_id, string_split(text, chr(10)) as parts from documents),
+lines as (select doc_id, unnest(parts) as line, unnest(range(0, len(parts))) as k from docs),
+formed as (select *, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) as f, row_number() over (order by doc_id, k) as rn from lines),
+forms as (select f, min(rn) as rn from formed where f <> '' group by f),
+variants as (
+  select f, rn, i, hash(left(f, i::int - 1) || substr(f, i::int + 1)) as v
+  from (select *, unnest(range(1, length(f) + 1)) as i from forms where length(f) >= 20)),
+replaced as (select v, i, length(f) as n, min(rn) as rn from variants group by all having count(*) > 1),
+near as (
+  select a.rn from variants a join replaced b on a.v = b.v and a.i = b.i and length(a.f) = b.n where a.rn > b.rn
+  union
+  select greatest(a.rn, b.rn) from variants a join forms b on a.v = hash(b.f) and length(a.f) = length(b.f) + 1 and length(b.f) >= 20),
+judged as (
+  select l.*, f <> '' and (l.rn > first_value(l.rn) over (partition by f order by l.rn) or n.rn is not null) as gone
+  from formed l left join near n on l.rn = n.rn)
+select d.doc_id, coalesce(count(j.k), 0) as n_lines, coalesce(count(*) filter (j.gone), 0) as n_removed,
+  sha256(case when d.parts is null then null else coalesce(string_agg(j.line, chr(10) order by j.k) filter (not j.gone), '') end) as kept_sha256
+from docs d left join judged j using (doc_id) group by d.doc_id, d.parts
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from qiyas.llm import quality
     from qiyas.llm.language_id import held_out
@@ -61,10 +90,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
+    "op3_line_dedup": op3_line_dedup,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_media": op8_media,
     "op9_secrets": op9_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
