@@ -58,6 +58,14 @@ from docs d left join judged j using (doc_id) group by d.doc_id, d.parts
 """
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import pieces
+
+    ids = pieces.encoded(documents(spark, sf_dir)).withColumn("n_ids", F.length("ids") / 4).withColumn("ids_crc32", F.crc32("ids"))
+    back = pieces.decoded(ids)
+    return back.select("doc_id", "n_chunks", F.col("n_ids").cast("long").alias("n_ids"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from qiyas.llm import quality
     from qiyas.llm.language_id import held_out
@@ -91,6 +99,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_line_dedup": op3_line_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
