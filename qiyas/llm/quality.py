@@ -176,3 +176,15 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCORED)
+
+
+def kept(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores ``threshold`` or more, with all their columns."""
+    at = docs.columns.index("text")
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.slices(batches):
+            yield batch.filter(pa.array(vote(broadcast.value, batch.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -23,6 +23,28 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import jaccard_join
+
+    return jaccard_join.joined(documents(spark, sf_dir))
+
+
+OP1_SQL = """
+with recursive split as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words
+  from documents),
+grams as (
+  select distinct doc_id, array_to_string(words[i:i + 4], ' ') as g
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) as i from split)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+meets as (select a.doc_id as a, b.doc_id as b, count(*) as met from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select m.a, m.b from meets m join sizes x on x.doc_id = m.a join sizes y on y.doc_id = m.b where 100 * met >= 75 * (x.n + y.n - met)),
+reach as (select doc_id, doc_id as other from split union select r.doc_id, l.b from reach r join links l on r.other = l.a)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id
+from split d left join sizes s using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)
+"""
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from qiyas.llm import fingerprints
 
@@ -104,6 +126,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_fingerprints": op2_fingerprints,
     "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece": op4_sentencepiece,
@@ -114,4 +137,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL}
