@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,16 +61,18 @@ def in_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     return docs.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(block).cast("long")), parts
 
 
-def with_next(rows: DataFrame, parts: int, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, parts: int, columns: list[str], add: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Adds next_<column>: the column of the next row by doc_id, then text; the last row's next is the first.
 
     Within a block a window looks ahead; a block's last row takes the first row of the next block that has rows.
+    add makes further columns of a row.
     """
     w = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    looked = rows.withColumn("_n", F.row_number().over(w)).withColumn("_next", F.lead(F.struct(*columns)).over(w))
-    first = looked.where("_n = 1").select("block", F.struct(*columns).alias("_first"))
+    first = add(rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")).select("block", F.struct(*columns).alias("_first"))
+    blocks, rows = rows, add(rows)
+    looked = rows.withColumn("_next", F.lead(F.struct(*columns)).over(w))
     coarse = F.floor(F.col("block") / parts)
-    there = rows.groupBy("block").agg(F.count("*").alias("_rows")).withColumn("_coarse", coarse)
+    there = blocks.groupBy("block").agg(F.count("*").alias("_rows")).withColumn("_coarse", coarse)
     inside = there.withColumn("_after", F.lead("block").over(Window.partitionBy("_coarse").orderBy("block")))
     # one row for each coarse interval, COARSE at most
     starts = there.groupBy("_coarse").agg(F.min("block").alias("_start"))
@@ -81,22 +84,23 @@ def with_next(rows: DataFrame, parts: int, columns: list[str]) -> DataFrame:
     return found.select(*rows.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
-def bitmap(slots: DataFrame) -> bytearray:
-    """2**BITS bits, on for each value of slot."""
-    groups = slots.select(F.bitmap_bucket_number("slot").alias("g"), F.bitmap_bit_position("slot").alias("p")).groupBy("g").agg(F.bitmap_construct_agg("p").alias("bits"))
-    out = bytearray((1 << BITS) // 8)
-    for r in groups.collect():  # at most 2**BITS / 32768 rows of 4 kB
-        out[(r["g"] - 1) * 4096 : r["g"] * 4096] = r["bits"]
-    return out
+def bitmap(slots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """2**BITS bits, on for each value of slot: rows of group and bits, at most 2**BITS / 32768 of 4 kB."""
+    groups = slots.select(F.bitmap_bucket_number("slot").alias("_group"), F.bitmap_bit_position("slot").alias("p"))
+    return scratch.table(groups.groupBy("_group").agg(F.bitmap_construct_agg("p").alias("_bits")), name)
 
 
 def slot(*keys: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 64 - BITS) + 1
 
 
-def is_in(bits: bytearray, at: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.floor((at - 1) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, ((at - 1) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+def those_in(rows: DataFrame, bits: DataFrame, at: Column) -> DataFrame:
+    """The rows whose slot is on."""
+    p = F.col("_position")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.call_function("shiftright", byte, (p % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    placed = rows.withColumns({"_group": F.bitmap_bucket_number(at), "_position": F.bitmap_bit_position(at)})
+    return placed.join(F.broadcast(bits), "_group").where(on).select(*rows.columns)
 
 
 def hexed(h: str, suffix: Column) -> Column:
@@ -104,17 +108,18 @@ def hexed(h: str, suffix: Column) -> Column:
     return F.concat(wide, F.when(suffix > 0, F.concat(F.lit("-"), suffix.cast("string"))).otherwise(F.lit("")))
 
 
-def forms(docs: DataFrame, thin: DataFrame, bits: int) -> DataFrame:
+def forms(docs: DataFrame, thin: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
     """keys, kind and canonical form of the rows of thin whose bucket may hold more than one row."""
     members = thin.select("h").union(thin.select(F.col("e").alias("h")))
     shared = members.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1")
-    often = bitmap(shared.select(slot("h").alias("slot")))
+    often = bitmap(shared.select(slot("h").alias("slot")), scratch, "often")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("raw"))
-    form = texts.withColumn("form", canonical(F.col("text"))).withColumn("h", wide_hash(F.col("form"), bits)).where(is_in(often, slot("h"))).select("doc_id", "raw", F.lit(None).cast("long").alias("next_doc_id"), F.lit(None).cast("long").alias("next_raw"), F.lit("text").alias("kind"), "h", "form")
-    edits = thin.where(is_in(often, slot("e"))).select("doc_id", "raw", "next_doc_id", "next_raw", "e").distinct()
+    formed = texts.withColumn("form", canonical(F.col("text"))).withColumn("h", wide_hash(F.col("form"), bits))
+    form = those_in(formed, often, slot("h")).select("doc_id", "raw", F.lit(None).cast("long").alias("next_doc_id"), F.lit(None).cast("long").alias("next_raw"), F.lit("text").alias("kind"), "h", "form")
+    edits = those_in(thin, often, slot("e")).select("doc_id", "raw", "next_doc_id", "next_raw", "e").distinct()
     # texts of which an edited text is made: few, so they're found by a bitmap before any of them moves
-    wanted = bitmap(edits.select(slot("doc_id", "raw").alias("slot")).union(edits.select(slot("next_doc_id", "next_raw").alias("slot"))))
-    found = texts.where(is_in(wanted, slot("doc_id", "raw"))).dropDuplicates(["doc_id", "raw"])
+    wanted = bitmap(edits.select(slot("doc_id", "raw").alias("slot")).union(edits.select(slot("next_doc_id", "next_raw").alias("slot"))), scratch, "wanted")
+    found = those_in(texts, wanted, slot("doc_id", "raw")).dropDuplicates(["doc_id", "raw"])
     null_safe = lambda a, b: a.eqNullSafe(b)
     a, b = found.alias("a"), found.alias("b")
     both = edits.alias("x").join(a, null_safe(F.col("x.doc_id"), F.col("a.doc_id")) & (F.col("x.raw") == F.col("a.raw"))).join(b, null_safe(F.col("x.next_doc_id"), F.col("b.doc_id")) & (F.col("x.next_raw") == F.col("b.raw")))
@@ -145,13 +150,13 @@ def fingerprinted(docs: DataFrame, bits: int = 64) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows, parts = in_blocks(docs)
-    rows = rows.withColumn("raw", F.xxhash64("text")).withColumn("h", wide_hash(canonical(F.col("text")), bits))
-    paired = with_next(rows, parts, ["doc_id", "raw", "text", "h"])
+    add = lambda df: df.withColumn("raw", F.xxhash64("text")).withColumn("h", wide_hash(canonical(F.col("text")), bits))
+    paired = with_next(rows, parts, ["doc_id", "raw", "text", "h"], add)
     made = paired.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     thin = made.select("doc_id", "raw", "next_doc_id", "next_raw", "h", "next_h", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), wide_hash(canonical(F.col("edited")), bits).alias("e"))
     scratch = Scratch(docs.sparkSession, "fingerprints")
     thin = scratch.table(thin, "thin")
-    compared = scratch.table(forms(docs, thin, bits), "forms")
+    compared = scratch.table(forms(docs, thin, bits, scratch), "forms")
     apart = scratch.table(numbered(compared), "apart")
     zero = F.lit(0)
     suffix = {"text": zero, "edited": zero, "next": zero}
