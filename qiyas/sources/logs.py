@@ -8,36 +8,35 @@ from pyspark.sql import types as T
 
 from qiyas.functions.answers import excel_safe, letter_of
 
-ITEM_SCHEMA = T.StructType.fromDDL(
+ITEM_SCHEMA = (
     "id string, question_az string, question_en string, answer string, answer_en string, answer_aliases array<string>, "
     "category string, source string, provenance string, verified_by string, difficulty string, notes string"
 )
-RUN_SCHEMA = T.StructType.fromDDL(
+RUN_SCHEMA = (
     "id string, model string, language string, prompt_style string, prompt string, raw_response string, "
     "generation struct<max_new_tokens: int, do_sample: boolean, temperature: double, seed: int, batch_size: int>, "
     "environment struct<python: string, platform: string>, timestamp string, "
     "backend struct<provider: string, requested_model: string, resolved_model: string, max_tokens: int, base_url: string, "
     "chat_template_requested: boolean, chat_template_applied: boolean, model_revision: string>"
 )
-MCQ_SCHEMA = T.StructType.fromDDL("id string, model string, condition string, subject string, max_new_tokens int, raw_response string")
+MCQ_SCHEMA = "id string, model string, condition string, subject string, max_new_tokens int, raw_response string"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines with file, line (from 1 in its file, blank lines counted) and error; malformed lines stay, with error set.
 
     Line numbers need each file's lines in order, so a file is one split here; use it for drafts, not for logs.
     """
     text = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.jsonl").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
     rows = text.select("file", F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(F.trim("raw") != "")
-    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    parsed = rows.withColumn("_r", F.from_json("raw", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    parsed = rows.withColumn("_r", F.from_json("raw", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return parsed.select("file", (F.col("line") + 1).alias("line"), "_r.*", F.col("_r._bad").alias("error")).drop("_bad")
 
 
-def unknown_fields(rows: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
+def unknown_fields(rows: DataFrame, raw: str, schema: str) -> DataFrame:
     """Adds unknown: the keys of a JSON object that the schema lacks."""
     keys = F.map_keys(F.from_json(raw, "map<string,string>"))
-    return rows.withColumn("unknown", F.array_except(keys, F.array(*[F.lit(f.name) for f in schema.fields])))
+    return rows.withColumn("unknown", F.array_except(keys, F.array(*[F.lit(f.name) for f in T.StructType.fromDDL(schema).fields])))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
