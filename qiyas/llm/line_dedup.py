@@ -40,33 +40,45 @@ from qiyas.llm.scratch import Scratch
 LEAST_NEAR = 20
 
 
+#: 64-bit codes of the code points below 2**16, for each lane of the hashes.
+CODES = [tb.mix(np.arange(1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(lane + 1)) for lane in (0, 1)]
+BASES = (tb.BASE, 0xD6E8FEB86659FD93)
+INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
+
+
 def form(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def coded(points: np.ndarray, lane: int) -> np.ndarray:
+    if len(points) and points.max() >> 16:
+        return np.where(points >> 16 == 0, CODES[lane][points & 0xFFFF], tb.mix(points.astype(np.uint64) * np.uint64(2) + np.uint64(lane + 1)))
+    return CODES[lane][points]
+
+
 class Lines:
-    """The lines of a slice of documents, with hashes of the parts of their forms."""
+    """The lines of a slice of documents, with hashes of the parts of their forms, in one or two lanes of 64 bits."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, lanes: int = 1):
         rows, numbers, forms = [], [], []
         for i, text in enumerate(batch.column(batch.schema.get_field_index("text"))):
             if text.is_valid:
-                for k, line in enumerate(text.as_py().split("\n")):
-                    if f := form(line):
+                for k, line in enumerate(text.as_py().lower().split("\n")):
+                    if f := " ".join(line.split()):
                         rows.append(i)
                         numbers.append(k)
                         forms.append(f)
         self.rows, self.numbers, self.forms = np.array(rows, np.int64), np.array(numbers, np.int32), forms
-        codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        points = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.lanes = range(lanes)
         self.at = np.concatenate([[0], np.cumsum([len(f) for f in forms], dtype=np.int64)]).astype(np.int64)
         self.length = np.diff(self.at)
         self.up, self.down, self.sums = [], [], []
-        for lane in range(2):
-            base = (tb.BASE, 0xD6E8FEB86659FD93)[lane]
-            self.up.append(tb.powers(len(codes) + 1, base))
-            self.down.append(tb.powers(len(codes) + 1, pow(base, -1, 1 << 64)))
-            s = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(tb.mix(codes * np.uint64(2) + np.uint64(lane + 1)) * self.up[lane][:-1], out=s[1:])
+        for lane in self.lanes:
+            self.up.append(tb.powers(len(points) + 1, BASES[lane]))
+            self.down.append(tb.powers(len(points) + 1, INVERSES[lane]))
+            s = np.zeros(len(points) + 1, np.uint64)
+            np.cumsum(coded(points, lane) * self.up[lane][:-1], out=s[1:])
             self.sums.append(s)
         self.first = np.zeros(len(forms), bool)  # of equal forms in this slice, the one that stands first
         if forms:
@@ -75,20 +87,20 @@ class Lines:
     def _raw(self, lane: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[lane][b] - self.sums[lane][a]) * self.down[lane][a]
 
-    def hashes(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Both lanes of the hash of code points [a, b)."""
-        return self._final([self._raw(k, a, b) for k in (0, 1)], b - a, salt)
+    def hashes(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray | int = 0) -> tuple[np.ndarray, ...]:
+        """The lanes of the hash of code points [a, b)."""
+        return self._final([self._raw(k, a, b) for k in self.lanes], b - a, salt)
 
-    def variants(self, line: np.ndarray, i: np.ndarray, salt: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """Both lanes of the hash of a line's form without its i-th code point."""
+    def variants(self, line: np.ndarray, i: np.ndarray, salt: np.ndarray | int) -> tuple[np.ndarray, ...]:
+        """The lanes of the hash of a line's form without its i-th code point."""
         a, b = self.at[line], self.at[line + 1]
-        joined = [self._raw(k, a, a + i) + self._raw(k, a + i + 1, b) * self.up[k][i] for k in (0, 1)]
+        joined = [self._raw(k, a, a + i) + self._raw(k, a + i + 1, b) * self.up[k][i] for k in self.lanes]
         return self._final(joined, b - a - 1, salt)
 
     @staticmethod
-    def _final(raw: list[np.ndarray], length: np.ndarray, salt: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    def _final(raw: list[np.ndarray], length: np.ndarray, salt: np.ndarray | int) -> tuple[np.ndarray, ...]:
         more = length.astype(np.uint64) + (np.asarray(salt).astype(np.uint64) << np.uint64(32))
-        return tuple(tb.mix(tb.mix(raw[k]) + tb.mix(more + np.uint64(k))).view(np.int64) for k in (0, 1))
+        return tuple(tb.mix(tb.mix(raw[k]) + tb.mix(more + np.uint64(k))).view(np.int64) for k in range(len(raw)))
 
     def half_keys(self) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(shorter by, side) to the lines, keys and the length of the half, for the slice's distinct long forms.
@@ -107,7 +119,7 @@ class Lines:
                 out[shorter, side] = line, key, m
         return out
 
-    def near(self, halves: Member) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    def near(self, halves: Member) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
         """(kind, lines, positions, keys) of the variants: kind 1 replaces, kind 2 deletes."""
         found = self.half_keys()
         for shorter in (0, 1):
@@ -176,7 +188,7 @@ def holder_rows(docs: DataFrame, halves, variants) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, shared = Member(halves), Member(variants)
         for batch in tb.slices(batches):
-            x = Lines(batch)
+            x = Lines(batch, 2)
             doc_id, tie = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tie"))
             w1, w2 = x.hashes(x.at[:-1], x.at[1:])
             forms = np.array(x.forms, object)

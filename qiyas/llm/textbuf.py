@@ -59,11 +59,21 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C
 BASE = 0x9FB21C651E98DF25
 
 
+#: Powers that a worker keeps for each base: enough for a slice.
+KEPT_POWERS = 4 << 20
+_kept: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int = BASE) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base ** k for k < n, modulo 2**64; not to be written to."""
+    found = _kept.get(base)
+    if found is None or len(found) < n:
+        found = np.full(max(n, 1), base, np.uint64)
+        found[0] = 1
+        found = np.multiply.accumulate(found)
+        if n <= KEPT_POWERS:
+            _kept[base] = found
+    return found[:n]
 
 
 INVERSE = pow(BASE, -1, 1 << 64)
