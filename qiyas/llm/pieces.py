@@ -197,38 +197,36 @@ def choose(matrices: list[np.ndarray]) -> list[int]:
     return out[::-1]
 
 
-ENCODED = "row long, doc_id long, text string, n_chunks int, ids binary"
+ENCODED = "doc_id long, text_sha256 string, n_chunks int, ids binary"
 
 
 def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """row (a number of its own), doc_id, text, n_chunks and ids (packed little-endian 32-bit words) of each document."""
+    """doc_id, text_sha256, n_chunks and ids (packed little-endian 32-bit words) of each document."""
     model = path or public_model()
-    numbered = docs.select("doc_id", "text")
+    numbered = docs.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
     whole = F.col("text").isNull() | (F.length("text") < chunk)
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for batch in tb.slices(batches):
             ids = [None if (t := x.as_py()) is None else codec.packed(codec.form(t)) for x in batch.column(1)]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), batch.column(0).cast(pa.int64()), batch.column(1), pa.array([1] * n, pa.int32()), pa.array(ids, pa.binary())], [f.split()[0] for f in ENCODED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array([1] * batch.num_rows, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "text_sha256", "n_chunks", "ids"])
 
     small = numbered.where(whole).mapInArrow(direct, ENCODED)
     giants = numbered.where(~whole)
     if giants.isEmpty():
         return small
     scratch = Scratch(docs.sparkSession, "pieces")
-    large = scratch.table(giants.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "giants")
-    parts = scratch.table(chunks(large, model, chunk), "chunks")
-    joined = parts.join(chosen(parts), ["row", "k"])
-    ids = chunk_ids(joined, model).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"))
+    large = scratch.table(giants.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "text_sha256"), "giants")
+    found = chosen(scratch.table(matrices(large, model, chunk), "matrices"))
+    ids = chunk_ids(large.select("row", "text").join(found, "row"), model).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"))
     together = F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
-    done = large.join(ids, "row").select("row", "doc_id", "text", F.size("all").alias("n_chunks"), together.alias("ids"))
+    done = large.select("row", "doc_id", "text_sha256").join(ids, "row").select("doc_id", "text_sha256", F.size("all").alias("n_chunks"), together.alias("ids"))
     return small.unionByName(done)
 
 
-def chunks(large: DataFrame, model: str, chunk: int) -> DataFrame:
-    """One row for each chunk: its stretch of the form with the pieces at both cuts, states and transfer matrix."""
+def matrices(large: DataFrame, model: str, chunk: int) -> DataFrame:
+    """row, k, the ends of the states at both cuts, and the transfer matrix of each chunk."""
     cut = "row long, k int, form string, base int, start int, end int"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,45 +240,54 @@ def chunks(large: DataFrame, model: str, chunk: int) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], [f.split()[0] for f in cut.split(", ")])
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for batch in tb.slices(batches, "form"):
             rows = []
             for r in batch.to_pylist():
-                a, b = r["start"] - r["base"], r["end"] - r["base"]
-                into, out = states(codec, r["form"], a), states(codec, r["form"], b)
-                rows.append((r["row"], r["k"], r["form"], [e for _, e in into], [e for _, e in out], transfer(codec, r["form"], into, out).ravel().tolist(), r["base"]))
+                base = r["base"]
+                into, out = states(codec, r["form"], r["start"] - base), states(codec, r["form"], r["end"] - base)
+                rows.append((r["row"], r["k"], [e + base for _, e in into], [e + base for _, e in out], transfer(codec, r["form"], into, out).ravel().tolist()))
             cols = list(zip(*rows, strict=True))
-            types = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["row", "k", "form", "into", "out", "matrix", "base"])
+            types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["row", "k", "into", "out", "matrix"])
 
     # chunks of a giant document are dealt to all tasks
     dealt = large.select("row", "text").mapInArrow(split, cut).repartition("row", "k")
-    return dealt.mapInArrow(matrices, "row long, k int, form string, into array<int>, out array<int>, matrix array<double>, base int")
+    return dealt.mapInArrow(solve, "row long, k int, into array<int>, out array<int>, matrix array<double>")
 
 
 def chosen(parts: DataFrame) -> DataFrame:
-    """row, k, and the places from which and to which the chunk's own pieces go. A task holds one document's matrices."""
+    """row and the places at which its chunks' own pieces begin and end. A task holds one document's matrices."""
 
     def run(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: r["k"])
         found = choose([np.array(r["matrix"]).reshape(len(r["into"]), len(r["out"])) for r in rows])
-        before = [0, *found[:-1]]
-        return pa.table({"row": pa.array([r["row"] for r in rows], pa.int64()), "k": pa.array([r["k"] for r in rows], pa.int32()), "from": pa.array([r["into"][i] for r, i in zip(rows, before)], pa.int32()), "to": pa.array([r["out"][j] for r, j in zip(rows, found)], pa.int32())})
+        places = [0, *(r["out"][j] for r, j in zip(rows, found, strict=True))]
+        return pa.table({"row": pa.array([rows[0]["row"]], pa.int64()), "places": pa.array([places], pa.list_(pa.int32()))})
 
-    return parts.select("row", "k", "into", "out", "matrix").groupBy("row").applyInArrow(run, "row long, k int, from int, to int")
+    return parts.groupBy("row").applyInArrow(run, "row long, places array<int>")
 
 
 def chunk_ids(joined: DataFrame, model: str) -> DataFrame:
-    """row, k and ids of each chunk between its chosen places."""
+    """row, k and ids of each chunk between its places, each on its own."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(model)
+        for batch in tb.slices(batches):
+            for row, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                form = codec.form(text.as_py())
+                n = len(places) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([form[a:b] for a, b in zip(places, places[1:])], pa.string())], ["row", "k", "form"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for batch in tb.slices(batches, "form"):
-            ids = [codec.packed(form.as_py()[a:b]) for form, a, b in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            ids = [codec.packed(form.as_py()) for form in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["row", "k", "ids"])
 
-    return joined.select("row", "k", "form", "from", "to").mapInArrow(run, "row long, k int, ids binary")
+    dealt = joined.select("row", "text", "places").mapInArrow(split, "row long, k int, form string").repartition("row", "k")
+    return dealt.mapInArrow(run, "row long, k int, ids binary")
 
 
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:

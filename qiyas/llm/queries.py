@@ -85,7 +85,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ids = pieces.encoded(documents(spark, sf_dir)).withColumn("n_ids", F.length("ids") / 4).withColumn("ids_crc32", F.crc32("ids"))
     back = pieces.decoded(ids)
-    return back.select("doc_id", "n_chunks", F.col("n_ids").cast("long").alias("n_ids"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return back.select("doc_id", "n_chunks", F.col("n_ids").cast("long").alias("n_ids"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from qiyas.llm import pieces
 
@@ -27,12 +29,12 @@ def some_texts():
 def test_equals_library(spark, chunk):
     docs = [(i, t) for i, t in enumerate(some_texts())] + [(5, " lead")]
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, ids string").repartition(3)
-    rows = pieces.decoded(pieces.encoded(df, chunk=chunk).withColumn("raw", __import__("pyspark").sql.functions.col("ids"))).collect()
+    rows = pieces.decoded(pieces.encoded(df, chunk=chunk).withColumn("raw", F.col("ids"))).collect()
     assert len(rows) == len(docs)
     text = dict(docs)
     for r in rows:
         t = text[r.doc_id]
-        assert r.text == t and r.decoded == t
+        assert r.decoded == t and r.text_sha256 == (None if t is None else hashlib.sha256(t.encode()).hexdigest())
         assert (None if r.raw is None else np.frombuffer(bytes(r.raw), "<u4").tolist()) == (None if t is None else library(t)), (r.doc_id, t[:80])
     assert chunk > 1000 or max(r.n_chunks for r in rows) > 3
     assert pieces.encoded(df.limit(0)).count() == 0
