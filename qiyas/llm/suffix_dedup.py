@@ -8,7 +8,10 @@ A window's anchor is the leftmost of the least hashes of its ``GRAM``-byte strin
 equal windows have equal anchors at equal distance. The windows of one anchor are
 consecutive; together they are a segment of less than 2 * WINDOW bytes. Equal windows lie
 in segments of equal anchor hash, so the corpus falls apart into groups of short segments.
-Equal segments are one row, the earliest: all windows of the others go. Where a group
+Equal segments are one row, the earliest: all windows of the others go. Runs of some
+consecutive segments, cut where an anchor's hash says so, are compared first, so copies of
+long passages are one row for many segments, and only anchors found in unequal runs
+go on. Where a group
 holds unequal segments, the collection's Burrows-Wheeler transform decides: it is built
 one column after another from the right, every round inserting one symbol of each
 segment and updating the common prefixes of neighbours, in sequential files that are
@@ -43,7 +46,9 @@ from qiyas.llm import textbuf as tb
 from qiyas.llm.bitmaps import Member, broadcast_bitmap
 from qiyas.llm.scratch import Scratch
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM, RUN = 100, 32, 16
+#: Two segments of one anchor that share a window share so many bytes next to the anchor, before or after it.
+BESIDE = (WINDOW - GRAM) // 2
 #: Bytes of segments that one task sorts at once.
 SORTED_BYTES = 6 << 20
 
@@ -85,22 +90,71 @@ def segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row[starts], starts, lasts, tb.mix(grams[anchor[starts]]).view(np.int64)
 
 
+def runs(raw: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each segment's run, and of every run its first segment, its last, and a 64-bit hash of its bytes.
+
+    A run ends with its document or before a segment whose anchor's hash is a multiple of RUN.
+    """
+    n = len(first)
+    new = np.ones(n, bool)
+    new[1:] = (of[1:] != of[:-1]) | (anchor[1:] % RUN == 0)
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], n) - 1 if n else a
+    sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
+    digest = tb.span_hashes(sums, first[a], last[b] + WINDOW, inverse).view(np.int64) if n else np.zeros(0, np.int64)
+    return np.cumsum(new) - 1, a, b, digest
+
+
 def anchor_keys(docs: DataFrame) -> DataFrame:
-    """key (anchor hash) of every segment."""
+    """key (anchor hash) and run (hash of its run's bytes) of every segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.slices(batches):
+            raw, at = tb.utf8(batch.column(0))
+            of, first, last, anchor = segments(raw, at)
+            run_of, _, _, digest = runs(raw, of, first, last, anchor)
+            # an anchor that stands again in its own run counts as one of another run
+            order = np.lexsort((anchor, run_of))
+            again = np.zeros(len(anchor), bool)
+            again[order[1:]] = (anchor[order[1:]] == anchor[order[:-1]]) & (run_of[order[1:]] == run_of[order[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digest[run_of] + again)], ["key", "run"])
+
+    return docs.select("text").mapInArrow(run, "key long, run long")
+
+
+def run_places(docs: DataFrame) -> DataFrame:
+    """d1, d2 (digest of a run's bytes), doc_id, tie, start and stop of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(segments(*tb.utf8(batch.column(0)))[3])], ["key"])
+            raw, at = tb.utf8(batch.column(2))
+            of, first, last, anchor = segments(raw, at)
+            _, a, b, digest = runs(raw, of, first, last, anchor)
+            data = raw.tobytes()
+            start, stop = first[a], last[b] + WINDOW
+            second = np.array([int.from_bytes(hashlib.blake2b(data[x:y], digest_size=8).digest(), "little", signed=True) for x, y in zip(start.tolist(), stop.tolist(), strict=True)], np.int64)
+            row = pa.array(of[a])
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(second), batch.column(0).take(row), batch.column(1).take(row), pa.array((start - at[of[a]]).astype(np.int32)), pa.array((stop - at[of[a]]).astype(np.int32))], ["d1", "d2", "doc_id", "tie", "start", "stop"])
+
+    return docs.select("doc_id", "tie", "text").mapInArrow(run, "d1 long, d2 long, doc_id long, tie long, start int, stop int")
 
-    return docs.select("text").mapInArrow(run, "key long")
+
+def anchor_places(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Where the anchors of segments stand: the leftmost least gram of the last window."""
+    if not len(first):
+        return first
+    sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
+    at = last[:, None] + np.arange(WINDOW - GRAM + 1)
+    grams = tb.span_hashes(sums, at, at + GRAM, inverse) >> np.uint64(32)
+    return last + grams.argmin(axis=1)
 
 
-PLACES = "anchor long, d1 long, d2 long, doc_id long, tie long, start int, windows int, bytes binary"
+PLACES = "anchor long, d1 long, d2 long, doc_id long, tie long, start int, windows int, bytes binary, before long, after long"
 
 
 def places(docs: DataFrame, shared, with_bytes: bool) -> DataFrame:
     """The segments whose anchor may be in a bitmap; d1, d2: digest of their bytes; bytes only where asked for."""
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = Member(shared)
@@ -113,7 +167,13 @@ def places(docs: DataFrame, shared, with_bytes: bool) -> DataFrame:
             parts = [data[a : b + WINDOW] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
             digest = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
             row = pa.array(of)
-            cols = [anchor, digest[:, 0], digest[:, 1], batch.column(0).take(row), batch.column(1).take(row), (first - at[of]).astype(np.int32), (last - first + 1).astype(np.int32), parts if with_bytes else [None] * len(parts)]
+            # every window of a segment holds the anchor: the anchor stands behind the last window's start
+            sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
+            place = anchor_places(raw, first, last)
+            low, high = np.maximum(place - BESIDE, first), np.minimum(place + GRAM + BESIDE, last + WINDOW)
+            before = pa.array(tb.span_hashes(sums, low, place + GRAM, inverse).view(np.int64), mask=place - low < BESIDE)
+            after = pa.array(tb.span_hashes(sums, place, high, inverse).view(np.int64), mask=high - place - GRAM < BESIDE)
+            cols = [anchor, digest[:, 0], digest[:, 1], batch.column(0).take(row), batch.column(1).take(row), (first - at[of]).astype(np.int32), (last - first + 1).astype(np.int32), parts if with_bytes else [None] * len(parts), before, after]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in PLACES.split(", ")])
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, PLACES)
@@ -290,18 +350,33 @@ HOT_GROUP = 4096
 
 def removed_ranges(docs: DataFrame, scratch: Scratch, hot_group: int = HOT_GROUP) -> DataFrame:
     """doc_id, tie, start and stop of byte ranges that occur earlier; ranges may overlap."""
-    keys = anchor_keys(docs).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    all_places = scratch.table(places(docs, broadcast_bitmap(keys), False).drop("bytes"), "places")
     at = F.struct("doc_id", "tie", "start")
-    content = ["anchor", "d1", "d2"]
+    spans = scratch.table(run_places(docs), "runs")
+    first_run = spans.groupBy("d1", "d2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
+    run_copies = scratch.table(spans.join(first_run, ["d1", "d2"]).where(at > F.col("first")).select("doc_id", "tie", "start", "stop"), "run_copies")
+    scratch.drop("runs")
+    # anchors that stand in unequal runs
+    keys = anchor_keys(docs).groupBy("key").agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a != b").select("key")
+    shared = broadcast_bitmap(keys)
+    all_places = scratch.table(places(docs, shared, False).drop("bytes", "before", "after", "d2"), "places")
+    # the anchor's hash and the digest are 128 bits
+    content = ["anchor", "d1"]
     firsts = scratch.table(all_places.groupBy(*content).agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
     copies = all_places.join(firsts.where("n > 1"), content).where(at > F.col("first"))
-    whole = copies.select("doc_id", "tie", "start", (F.col("start") + F.col("windows") + (WINDOW - 1)).alias("stop"))
+    whole = scratch.table(copies.select("doc_id", "tie", "start", (F.col("start") + F.col("windows") + (WINDOW - 1)).alias("stop")), "copies")
     unequal = scratch.table(firsts.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1"), "unequal")
+    scratch.drop("places", "firsts")
     texts = places(docs, broadcast_bitmap(unequal.select("anchor")), True)
     # of equal segments the earliest stands for all; a hot segment is one row of each task before it moves
-    distinct = texts.groupBy(*content).agg(F.min(F.struct("doc_id", "tie", "start", "bytes")).alias("s")).select(*content, "s.*")
+    distinct = texts.groupBy(*content).agg(F.min(F.struct("doc_id", "tie", "start", "bytes", "before", "after")).alias("s")).select(*content, "s.*")
     distinct = scratch.table(distinct.join(unequal, "anchor"), "distinct")
+    # segments that agree with no other next to the anchor share no window
+    beside = lambda c: distinct.where(F.col(c).isNotNull()).groupBy("anchor", c).agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    one = distinct.join(beside("before"), ["anchor", "before"], "left_semi").select("anchor", "doc_id", "tie", "start", "bytes", "contents")
+    two = distinct.join(beside("after"), ["anchor", "after"], "left_semi").select("anchor", "doc_id", "tie", "start", "bytes", "contents")
+    distinct = scratch.table(one.union(two).distinct(), "meeting")
+    scratch.drop("distinct")
+    whole = whole.unionByName(run_copies)
     few, many = F.col("contents") <= hot_group, F.col("contents") > hot_group
     return whole.unionByName(sorted_ranges(distinct.where(few))).unionByName(windowed_ranges(distinct.where(many)))
 
