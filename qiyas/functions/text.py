@@ -101,12 +101,18 @@ def normalize(c: Column, mode: Mode) -> Column:
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    """F1 of two token arrays as multisets; 1 if both are empty, 0 if one is."""
+    """F1 of two token arrays as multisets; 1 if both are empty, 0 if one is. The second should be the shorter one."""
     count = lambda x, t: F.size(F.filter(x, lambda y: y == t))
-    common = F.aggregate(F.transform(F.array_distinct(a), lambda t: F.least(count(a, t), count(b, t))), F.lit(0), lambda x, y: x + y)
-    p, r = common / F.size(a), common / F.size(b)
-    empty = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(empty, ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")).when(common == 0, 0.0).otherwise(2 * p * r / (p + r))
+
+    def score(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        common = F.aggregate(F.transform(F.array_distinct(b), lambda t: F.least(count(a, t), count(b, t))), F.lit(0), lambda x, y: x + y)
+        p, r = common / F.size(a), common / F.size(b)
+        empty = (F.size(a) == 0) | (F.size(b) == 0)
+        return F.when(empty, ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")).when(common == 0, 0.0).otherwise(2 * p * r / (p + r))
+
+    # bound as elements of an array, the token arrays are made once and not for every token
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), score)[0]
 
 
 def contains_tokens(text: Column, inner: Column) -> Column:

@@ -167,7 +167,7 @@ def rq2_pairs(spark, sf_dir):
 
 @query
 def control_gap(spark, sf_dir):
-    control = synthetic.items(spark, sf_dir).where(F.col("category").isin(4, 9))
+    control = synthetic.items(spark, sf_dir).where(F.col("category").isin(4, 6))
     return rounded(paired.model_pairs(_scores(spark, sf_dir), "az", control), *PAIRED)
 
 
@@ -349,7 +349,7 @@ def _draft_rows(spark, sf_dir) -> DataFrame:
     none: Column = F.array(F.lit("x"))
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("az-"), F.lpad((d - (d % 50 == 7).cast("int")).cast("string"), 4, "0")).alias("id"), d.alias("line"),
-        F.concat(F.array_join(F.slice(w, 1, 9), " "), F.when(d % 4 == 0, "?").otherwise("")).alias("question_az"), F.lit("q").alias("question_en"),
+        F.concat(F.array_join(F.slice(w, 1, 6), " "), F.when(d % 4 == 0, "?").otherwise("")).alias("question_az"), F.lit("q").alias("question_en"),
         F.try_element_at(w, F.when(d % 10 == 0, 2).otherwise(9)).alias("answer"), F.when(d % 9 == 0, "").otherwise("x").alias("answer_en"),
         none.alias("answer_aliases"), F.col("lang").alias("category"), F.lit("s").alias("source"), F.lit("manual").alias("provenance"), F.lit("pending").alias("verified_by"),
     )

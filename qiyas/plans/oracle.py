@@ -35,7 +35,7 @@ def norm(x: str, mode: Mode) -> str:
 
 def f1(a: str, b: str) -> str:
     """Multiset F1 of two lists that are columns."""
-    common = f"coalesce(list_sum(list_transform(list_distinct({a}), lambda t: least(len(list_filter({a}, lambda y: y = t)), len(list_filter({b}, lambda y: y = t))))), 0)"
+    common = f"coalesce(list_sum(list_transform(list_distinct({b}), lambda t: least(len(list_filter({a}, lambda y: y = t)), len(list_filter({b}, lambda y: y = t))))), 0)"
     return f"case when len({a}) = 0 or len({b}) = 0 then (len({a}) = 0 and len({b}) = 0)::int::double when {common} = 0 then 0.0 else 2.0 * ({common} / len({a})) * ({common} / len({b})) / ({common} / len({a}) + {common} / len({b})) end"
 
 
@@ -185,7 +185,7 @@ select language, sum(k)::bigint as n, round(max(k) / sum(k), 9) as majority from
   count(*) filter (empty_rate <= 0.2 and question_echo_rate <= 0.2) as no_question_echo, count(*) filter (empty_rate <= 0.2 and question_echo_rate <= 0.2 and recoverable_rate <= 0.3) as extractable from rates""",
     "rq1_gap": f"{GAP} select {rounded('model, prompt_style, mode, n, discordant, net', 'mean_a', 'mean_b', 'diff', 'p', 'p_holm')} from corrected",
     "rq2_pairs": model_pairs("language = 'az'"),
-    "control_gap": model_pairs("language = 'az' and item_id % 7 in (4, 9)"),
+    "control_gap": model_pairs("language = 'az' and item_id % 7 in (4, 6)"),
     "prompt_verdict": f"{GAP} select model, count(*) as styles, case when count(*) < 2 then false else bool_and(diff > 0 and p_holm < 0.05) end as holds from corrected where mode = 'strict' group by model",
     "gap_closed": f"{GAP}, s as (select *, max(diff) filter (mode = 'strict') over (partition by model, prompt_style) as d0 from corrected) select model, prompt_style, mode, round(case when abs(d0) >= 1e-9 then (d0 - diff) / d0 end, 9) + 0.0 as closed from s",
     "gap_floor_marks": f"""with {RUNS} select model, language, round(avg(em_strict), 9) as em, case when avg(em_strict) < 0.05 then '*' when avg(em_strict) < 0.1 then '+' else '' end as mark from scores where item_id % 3 = 2 group by model, language""",
@@ -198,7 +198,7 @@ z as (select *, excess - half as low, excess + half as high from s)
 select {rounded('label, prompt_style, n', 'az_loss', 'en_loss', 'excess', 'translit_loss', 'cyrillic_share', 'low', 'high')}, case when low > 0 and az_loss > 0 then 'damaged' when low > 0 then 'gained less' when high < 0 then 'spared' else 'no difference' end as verdict from z""",
     "composition_subsets": f"""with {RUNS}, big as (select category from (select category, count(*) as k from items group by 1) order by k desc, category limit 1),
 w as (select model, prompt_style, item_id, category, max(em_strict) filter (language = 'en') - max(em_strict) filter (language = 'az') as d from scores group by all),
-f as (select *, category <> (select category from big) as a, category in (4, 9) as b from w),
+f as (select *, category <> (select category from big) as a, category in (4, 6) as b from w),
 e as (select model, d, 'all' as subset from f union all select model, d, 'minus largest' from f where a union all select model, d, 'control' from f where b union all select model, d, 'both' from f where a and b),
 g as (select model, subset, count(*) as n, avg(d) as gap from e group by all) select subset, sum(n)::bigint as n, round(avg(gap), 9) as mean_gap from g group by subset""",
     "bootstrap_hash": f"""with {RUNS}, v as (select model, language, list(em_strict order by item_id) as x from scores where prompt_style = 'default' group by all),
