@@ -111,7 +111,7 @@ def distinct_sets(batches: Iterator[pa.RecordBatch], position: int) -> Iterator[
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_id (null for the empty set) and the least hashes under each order."""
+    """doc_id, n, set_id and class, 64 bits of it (null for the empty set), and the least hashes under each order."""
     names = [f"m{k}" for k in range(ROUNDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +119,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             found = sets(batch.column(1))
             least = [[int(tb.mix(s ^ seed).min().view(np.int64)) if len(s) else None for s in found] for seed in SEEDS]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([set_id(s) if len(s) else None for s in found], pa.binary()), *(pa.array(x, pa.int64()) for x in least)],
-                ["doc_id", "n", "set_id", *names],
+                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(ids := [set_id(s) if len(s) else None for s in found], pa.binary()), pa.array([None if x is None else int(key_of([x])[0]) for x in ids], pa.int64()), *(pa.array(x, pa.int64()) for x in least)],
+                ["doc_id", "n", "set_id", "class", *names],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id binary, " + ", ".join(f"{m} long" for m in names))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id binary, class long, " + ", ".join(f"{m} long" for m in names))
 
 
 def frequency_levels(docs: DataFrame) -> Broadcast:
@@ -163,21 +163,19 @@ def ordered(s: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def prefix_tokens(docs: DataFrame, levels: Broadcast) -> DataFrame:
-    """key: the tokens that a lookup needs, of every class."""
+    """key and class: the tokens that a lookup needs, of every class (64 bits of its set_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in distinct_sets(batches, 0):
+        for ids, found in distinct_sets(batches, 0):
             keys = [ordered(s, levels.value)[: probe_length(len(s))] for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))], ["key"])
-
-    return docs.select("text").mapInArrow(run, "key long")
-
+            of = np.repeat(key_of(ids), [len(k) for k in keys]) if ids else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)), pa.array(of)], ["key", "class"])
 
-POSTINGS = "token long, set_id binary, n int, place int"
+    return docs.select("text").mapInArrow(run, "key long, class long")
 
 
 def postings(docs: DataFrame, levels: Broadcast, shared: Broadcast) -> DataFrame:
-    """The rows of the matrix: prefix tokens that may occur in several classes, with their place in the class."""
+    """The rows of the matrix: prefix tokens that may occur in several classes, with the class, its size n and the place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = Member(shared)
@@ -188,10 +186,10 @@ def postings(docs: DataFrame, levels: Broadcast, shared: Broadcast) -> DataFrame
             of = np.repeat(np.arange(len(tokens)), length)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
             use = member(flat) if len(flat) else np.zeros(0, bool)
-            sizes = np.array([len(s) for s in found], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[use]), pa.array(ids, pa.binary()).take(pa.array(of[use])), pa.array(sizes[of[use]] if len(of) else sizes, pa.int32()), pa.array(place[use].astype(np.int32))], ["token", "set_id", "n", "place"])
+            sizes, keys = np.array([len(s) for s in found], np.int64), key_of(ids) if ids else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[use]), pa.array(keys[of[use]]), pa.array(sizes[of[use]] << 32 | place[use])], ["token", "class", "n_place"])
 
-    return docs.select("text").mapInArrow(run, POSTINGS).distinct()
+    return docs.select("text").mapInArrow(run, "token long, class long, n_place long").distinct()
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -291,18 +289,20 @@ def joined(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     least = [f"m{k}" for k in range(ROUNDS)]
     signed = scratch.table(signatures(docs), "signed")
-    classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("n").alias("n"), F.min("doc_id").alias("first"), *[F.min(m).alias(m) for m in least])
+    classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("n").alias("n"), F.min("doc_id").alias("first"), F.min("class").alias("class"), *[F.min(m).alias(m) for m in least])
     classes = scratch.table(classes, "classes")
     clusters = components(pivot_links(docs, classes, scratch), scratch, "clusters")
     scratch.drop("pivot_sets")
-    of = classes.join(clusters.withColumnsRenamed({"node": "set_id"}), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("cluster"))
+    of = classes.join(clusters.withColumnsRenamed({"node": "set_id"}), "set_id", "left").select("set_id", "class", F.coalesce("component", "set_id").alias("cluster"))
     of = scratch.table(of, "of")
     size = of.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")).where("groups > 1")
     group = F.concat("cluster", F.coalesce(F.pmod(F.xxhash64("set_id"), F.col("groups")), F.lit(0)).cast("string").cast("binary"))
-    members = scratch.table(of.join(size, "cluster", "left").select("set_id", "cluster", group.alias("group")), "members")
+    members = scratch.table(of.join(size, "cluster", "left").select("set_id", "class", "cluster", group.alias("group")), "members")
     levels = frequency_levels(docs)
-    shared = broadcast_bitmap(prefix_tokens(docs, levels).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    rows = scratch.table(postings(docs, levels, shared).join(members, "set_id"), "postings")
+    shared = broadcast_bitmap(prefix_tokens(docs, levels).groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("key"))
+    # sets that share 64 bits get each other's rows as well: more candidates, the same links
+    found = postings(docs, levels, shared).join(members, "class")
+    rows = scratch.table(found.select("token", "set_id", "cluster", "group", F.shiftright("n_place", 32).cast("int").alias("n"), F.col("n_place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place")), "postings")
     pairs = scratch.table(candidates(rows, scratch), "candidates")
     scratch.drop("postings", "crossing")
     links = opened_links(docs, pairs, members.join(pairs.select("group").distinct(), "group", "left_semi"), scratch)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,8 +38,10 @@ class Scratch:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}".rstrip("/"))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes the rows once and returns a reader of them."""
+        """Writes the rows once and returns a reader of them. Shuffles of finished steps needn't stay on disk meanwhile."""
         df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
+        gc.collect()
+        self.spark._jvm.System.gc()  # Spark's cleaner removes shuffles whose plans are gone
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:
