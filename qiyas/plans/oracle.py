@@ -252,3 +252,14 @@ i as (
   union all select id, line, 'warning', 'question_az', 'duplicate question' from (select *, row_number() over (partition by nq order by line) as k from n) where k > 1 and nq <> '')
 select * from i"""
 ORACLES["validate_items"] = VALIDATE
+
+FORMULAS = {
+    "polygon_angle_sum": "(a - 2) * 180", "polygon_diagonals": "a * (a - 3) // 2", "divisor_count": "len(list_filter(range(1, a + 1), lambda d: a % d = 0))",
+    "sum_first_n": "a * (a + 1) // 2", "gcd": "gcd(a, b)", "lcm": "lcm(a, b)", "factorial": "factorial((a % 13)::int)", "perfect_square_root": "a", "remainder": "a % b",
+    "power": "pow(a % 10, b % 7)", "digit_sum": "list_sum(list_transform(string_split(a::varchar, ''), lambda x: x::bigint))",
+    "distinct_prime_factors": "len(list_filter(range(2, a + 1), lambda p: a % p = 0 and len(list_filter(range(2, p), lambda d: p % d = 0)) = 0))",
+    "triangle_third_angle": "180 - a - b", "percent_of": "a * b // 100", "arithmetic_term": "a + (b - 1) * 7", "hours_to_seconds": "a * 3600", "sum_range": "(a + b) * (b - a + 1) // 2", "binary_to_decimal": "a",
+}
+ORACLES["math_items"] = f"""with p as (select distinct p_partkey % 40 + 3 as a, p_partkey % 50 + 43 as b from part),
+e as ({' union all '.join(f"select '{k}' as family, a, b, ({v})::bigint as answer from p" for k, v in FORMULAS.items())})
+select * from e where not contains(a::varchar || '|' || b::varchar, answer::varchar)"""
