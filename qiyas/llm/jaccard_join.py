@@ -14,7 +14,7 @@ For those, the matrix of tokens and groups is kept in rows. Under one order of a
 rare ones first, linked sets share a token among the first few of each (a prefix whose length
 follows from the threshold), so only prefixes are looked up: a query class and a group
 meet if they share such a token at places that still allow a link. Then the overlap of
-the query with the union of the group's tokens is counted; only if it reaches the share of
+the query with the union of the group's tokens is bounded, first by bitmaps of leading bits, then exactly; only if it reaches the share of
 the query that a link needs is the group opened, and its classes compared one by one until
 one links.
 
@@ -192,8 +192,25 @@ def postings(docs: DataFrame, levels: Broadcast, shared: Broadcast) -> DataFrame
     return docs.select("text").mapInArrow(run, "token long, class long, n_place long").distinct()
 
 
-def fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """set_id and tokens (packed, sorted) of the wanted classes; a bitmap spares the texts of most others."""
+def outline(s: np.ndarray) -> bytes:
+    """A set's size and a bitmap of the leading bits of its tokens, about a byte for each: 8 to 16 bits a token, a power of two."""
+    order = max(6, (8 * len(s) - 1).bit_length())
+    bits = np.zeros(1 << order, bool)
+    bits[(s >> np.uint64(64 - order)).astype(np.int64)] = True
+    return len(s).to_bytes(4, "little") + np.packbits(bits).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of fewer leading bits."""
+    return bits.reshape(size, -1).any(axis=1)
+
+
+def opened_outlines(x: bytes) -> tuple[int, np.ndarray]:
+    return int.from_bytes(x[:4], "little"), np.unpackbits(np.frombuffer(x, np.uint8, offset=4)).astype(bool)
+
+
+def fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str, form=np.ndarray.tobytes) -> DataFrame:
+    """set_id and tokens (packed and sorted, or another form) of the wanted classes; a bitmap spares the texts of most others."""
     keys = wanted.select("set_id").distinct()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +224,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) ->
         member = Member(bitmap)
         for ids, found in distinct_sets(batches, 0):
             use = np.flatnonzero(member(key_of(ids))) if ids else []
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in use], pa.binary()), pa.array([found[i].tobytes() for i in use], pa.binary())], ["set_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in use], pa.binary()), pa.array([form(found[i]) for i in use], pa.binary())], ["set_id", "tokens"])
 
     every = docs.select("text").mapInArrow(run, "set_id binary, tokens binary")
     return scratch.table(every.join(keys, "set_id", "left_semi").dropDuplicates(["set_id"]), name)
@@ -256,14 +273,47 @@ def candidates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return x.join(y, "token").where((F.col("xc") != F.col("yc")) & fits).select("query", "group").distinct()
 
 
-def opened_links(docs: DataFrame, pairs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: a query class and one class of a group that it links with, of every group that must be opened and has one."""
+def dealt(pairs: DataFrame, members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """group, part, set_id and asks: every group's classes, once for each part of its queries, and the queries."""
     load = pairs.groupBy("group").agg(F.count("*").alias("queries"))
     parts = load.select("group", F.ceil(F.col("queries") / QUERIES).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")
     asked = pairs.join(parts, "group").select("group", part.alias("part"), F.col("query").alias("set_id"), F.lit(True).alias("asks"))
     there = members.join(parts, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "set_id", F.lit(False).alias("asks"))
-    both = scratch.table(asked.union(there), "opened")
+    return scratch.table(asked.union(there), name)
+
+
+def qualified(docs: DataFrame, pairs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs of query and group that the outlines of their tokens don't rule out.
+
+    A place of the query's bitmap that the group's union lacks is a token at least that no class of the group has.
+    """
+
+    def bound(key, table):
+        asks, ids = table.column("asks").to_pylist(), table.column("set_id").to_pylist()
+        found = [opened_outlines(x.as_py()) for x in table.column("tokens")]
+        inside = [found[i][1] for i, q in enumerate(asks) if not q]
+        kept = []
+        if inside:
+            size = min(map(len, inside))
+            union = np.logical_or.reduce([folded(x, size) for x in inside])
+            for i, q in enumerate(asks):
+                if q:
+                    n, bits = found[i]
+                    common = min(len(bits), size)
+                    missing = int((folded(bits, common) & ~folded(union, common)).sum())
+                    if 100 * (n - missing) >= SHARE * n:
+                        kept.append(ids[i])
+        return pa.table({"query": pa.array(kept, pa.binary()), "group": pa.array([key[0].as_py()] * len(kept), pa.binary())})
+
+    both = dealt(pairs, members, scratch, "outlined")
+    store = fetched(docs, both, scratch, "outlines", outline)
+    return scratch.table(both.join(store, "set_id").groupBy("group", "part").applyInArrow(bound, "query binary, group binary"), "qualified")
+
+
+def opened_links(docs: DataFrame, pairs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: a query class and one class of a group that it links with, of every group that must be opened and has one."""
+    both = dealt(pairs, members, scratch, "opened")
     store = fetched(docs, both, scratch, "group_sets")
 
     def compare(key, table):
@@ -305,7 +355,10 @@ def joined(docs: DataFrame) -> DataFrame:
     rows = scratch.table(found.select("token", "set_id", "cluster", "group", F.shiftright("n_place", 32).cast("int").alias("n"), F.col("n_place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place")), "postings")
     pairs = scratch.table(candidates(rows, scratch), "candidates")
     scratch.drop("postings", "crossing")
-    links = opened_links(docs, pairs, members.join(pairs.select("group").distinct(), "group", "left_semi"), scratch)
+    of_groups = lambda found: members.join(found.select("group").distinct(), "group", "left_semi")
+    left = qualified(docs, pairs, of_groups(pairs), scratch)
+    scratch.drop("outlined", "outlines")
+    links = opened_links(docs, left, of_groups(left), scratch)
     name = members.select("set_id", "cluster")
     between = links.join(name.withColumnsRenamed({"set_id": "a", "cluster": "ca"}), "a").join(name.withColumnsRenamed({"set_id": "b", "cluster": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joint = components(scratch.table(between, "between"), scratch, "joint")
