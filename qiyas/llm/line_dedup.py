@@ -80,9 +80,19 @@ class Lines:
             s = np.zeros(len(points) + 1, np.uint64)
             np.cumsum(coded(points, lane) * self.up[lane][:-1], out=s[1:])
             self.sums.append(s)
-        self.first = np.zeros(len(forms), bool)  # of equal forms in this slice, the one that stands first
+        self.first = np.zeros(len(forms), bool)  # of equal forms in this slice, the earliest, or the first row's without ids
         if forms:
-            self.first[np.unique(self.hashes(self.at[:-1], self.at[1:])[0], return_index=True)[1]] = True
+            order = self._order(batch)
+            self.first[order[np.unique(self.hashes(self.at[:-1], self.at[1:])[0][order], return_index=True)[1]]] = True
+
+    def _order(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The lines by (doc_id, line, tie), null ids before others; as they stand where the slice has no ids."""
+        if "doc_id" not in batch.schema.names:
+            return np.arange(len(self.rows))
+        doc_id, tie = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tie"))
+        known = np.asarray(doc_id.is_valid())
+        ids = np.asarray(doc_id.cast(pa.int64()).fill_null(0))
+        return np.lexsort((np.asarray(tie)[self.rows], self.numbers, ids[self.rows], known[self.rows]))
 
     def _raw(self, lane: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[lane][b] - self.sums[lane][a]) * self.down[lane][a]

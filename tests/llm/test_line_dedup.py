@@ -64,3 +64,22 @@ def test_equals_sql(spark):
     want = sorted(con.sql(f"select doc_id, n_lines, n_removed, kept_sha256 from ({OP3_SQL})").fetchall())
     assert sorted((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in op3_line_dedup(spark, sf).collect()) == want
     assert sum(r[2] for r in want) > 0
+
+
+def test_earliest_of_a_slice_is_not_its_first_row(spark):
+    """Equal forms in one slice whose rows don't stand in the order of doc_id: the earliest is the one that others meet."""
+    f, g = "a line of enough length to be near", "a line of enough length to be nearx"
+    p, q = "another line that many documents hold", "another line that many documents hald"
+    cases = (
+        [(9, f), (3, f), (5, g)],
+        [(9, f), (3, g), (5, f)],
+        [(9, g), (5, f), (3, g)],
+        [(9, p), (3, p), (5, q)],
+        [(5, p), (None, p), (3, q)],
+        [(4, "x\n" + p), (4, p + "\ny"), (4, "v\n\n" + q), (3, "z")],
+        sorted(some_docs(3), reverse=True),
+    )
+    for docs in cases:
+        df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+        got = sorted((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in line_dedup.deduplicated(df).collect())
+        assert got == sorted((str(d), *x) for d, *x in brute(docs)), docs
