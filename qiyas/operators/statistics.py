@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+from fractions import Fraction
+from itertools import accumulate
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,21 +111,61 @@ def permutation_numpy(pairs: DataFrame, group: list[str], key: str, a: str, b: s
     return pairs.groupBy(*group).applyInPandas(run, schema)
 
 
-def exact_permutation(rows: DataFrame, key: str, value: str, inside: str, most: int = 16) -> DataFrame:
-    """observed, p and arrangements of the difference in means over all ways to choose the group; ``most`` rows at most.
+def subset_sums(values: list[int]) -> list[dict[int, int]]:
+    """For each size, the sums of the subsets of that size and how many have each."""
+    out: list[dict[int, int]] = [{0: 1}]
+    for v in values:
+        out.append({})
+        for size in range(len(out) - 1, 0, -1):
+            for total, count in out[size - 1].items():
+                out[size][total + v] = out[size].get(total + v, 0) + count
+    return out
+
+
+def counted_arrangements(values: list[float], inside: list[bool], tolerance: float = 1e-9) -> tuple[float, float, int]:
+    """observed, p and arrangements of the difference in means; every arrangement counts, none is listed.
 
-    Every arrangement is a bit mask of its own row; the table of values is broadcast, being of ``most`` rows.
+    Values are taken as whole multiples of a power of two, so sums are exact. Both halves of the values give the sums of
+    their subsets, which meet sorted: any number of values with few sums, some forty without equal sums.
     """
-    few = rows.select(key, value, F.col(inside).cast("int").alias("_in"))
-    indexed = few.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
-    one = indexed.agg(F.array_sort(F.collect_list(F.struct("_i", value, "_in"))).alias("_v"), F.count("*").alias("_n"), F.sum("_in").alias("_k"))
-    one = one.withColumn("_v", F.when(F.col("_n") <= most, F.col("_v")).otherwise(F.raise_error(F.lit("too many rows for an exact test"))))
-    masks = one.withColumn("_m", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("_n")).cast("long") - 1))).where(F.bit_count("_m") == F.col("_k"))
-    bit = lambda v: F.floor(F.col("_m") / F.pow(F.lit(2.0), v["_i"].cast("double"))) % 2
-    total = lambda pick: F.aggregate("_v", F.lit(0.0), lambda acc, v: acc + pick(v) * v[value])
-    stat = lambda pick: total(pick) / F.col("_k") - total(lambda v: 1 - pick(v)) / (F.col("_n") - F.col("_k"))
-    both = masks.select(stat(bit).alias("_s"), stat(lambda v: v["_in"]).alias("_o"))
-    return both.groupBy(F.col("_o").alias("observed")).agg((F.sum(F.when(F.abs("_s") >= F.abs("_o") - 1e-9, 1).otherwise(0)) / F.count("*")).alias("p"), F.count("*").alias("arrangements"))
+    n, k = len(values), sum(inside)
+    if k in (0, n):
+        raise ValueError("an exact test needs rows inside and outside")
+    exact = [Fraction(v) for v in values]
+    scale = max(f.denominator for f in exact)
+    x = [int(f * scale) for f in exact]
+    total, here = sum(x), sum(v for v, g in zip(x, inside, strict=True) if g)
+    # the difference in means is (sum inside * n - total * k) / (k * (n - k) * scale)
+    least = abs(here * n - total * k) - Fraction(tolerance) * k * (n - k) * scale
+    high, low = math.ceil((least + total * k) / n), math.floor((total * k - least) / n)
+    arrangements = hits = math.comb(n, k)
+    if least > 0:
+        hits, left, right = 0, subset_sums(x[: n // 2]), subset_sums(x[n // 2 :])
+        for size, sums in enumerate(left):
+            if not 0 <= k - size < len(right):
+                continue
+            others = sorted(right[k - size].items())
+            keys, upto = [s for s, _ in others], [0, *accumulate(c for _, c in others)]
+            for s, count in sums.items():
+                hits += count * (upto[-1] - upto[bisect_left(keys, high - s)] + upto[bisect_right(keys, low - s)])
+    return float(Fraction(here * n - total * k, k * (n - k) * scale)), float(Fraction(hits, arrangements)), arrangements
+
+
+def exact_permutation(rows: DataFrame, key: str, value: str, inside: str) -> DataFrame:
+    """observed, p and arrangements of the difference in means over all ways to choose the group.
+
+    One small group by its nature: its values go to one task as an array. arrangements is null beyond 63 bits; p stays exact.
+    """
+    one = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), F.col(inside).cast("boolean").alias("g")))).alias("_v"))
+    few = one.select(F.transform("_v", lambda v: v["v"]).alias("v"), F.transform("_v", lambda v: v["g"]).alias("g"))
+
+    def run(batches):
+        for batch in batches:
+            for values, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                observed, p, n = counted_arrangements(values, group)
+                yield pa.RecordBatch.from_arrays([pa.array([observed]), pa.array([p]), pa.array([n if n < 1 << 63 else None], pa.int64())], ["observed", "p", "arrangements"])
+
+    return few.mapInArrow(run, "observed double, p double, arrangements long")
 
 
 def mean_ranks(rows: DataFrame, value: str, inside: str) -> DataFrame:
