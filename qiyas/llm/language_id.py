@@ -28,10 +28,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of each language from which a dictionary is made, and the bytes that it takes of them.
+#: Distinct texts of each language from which a dictionary is made, and the bytes that it takes of them.
 SAMPLE_DOCS, DICT_BYTES = 400, 48 << 10
-#: Languages learned at most: the most frequent.
-MOST_LANGUAGES = 512
 BLOCK_BYTES, LEVEL = 2048, 5
 SHORT_BYTES, SHORT_LEVEL, CARRIER = 600, 19, bytes(64)
 DROPPED = bytes(i for i in range(128) if not chr(i).isalpha() and i not in b" \n")
@@ -44,12 +42,14 @@ SCORED = "doc_id long, lang_pred string, score double, rejected boolean"
 def learn(rows: DataFrame) -> dict[str, bytes]:
     """The dictionary of each language, the most frequent first, from rows with text and lang (nulls are left out)."""
     known = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    frequent = known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES)
+    hashed = known.select("lang", F.xxhash64("text").alias("_h")).groupBy("lang", "_h").agg(F.count("*").alias("_n"))
+    # one row a language: its rows, and its distinct texts
+    languages = hashed.groupBy("lang").agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"))
     # a text gives 4 kB at most, from its middle, so that many documents share in the dictionary
     part = F.expr(f"substring(text, greatest(1, cast(length(text) / 2 as int) - {DICT_BYTES // 24}), {DICT_BYTES // 12})")
-    keyed = known.select("lang", F.xxhash64("text").alias("_h"), part.alias("part")).join(F.broadcast(frequent), "lang")
-    # about 1.3 times the rows wanted pass this cut, and copies count once, so no task ranks all of a language
-    near = keyed.where(F.col("_h") / 2.0**64 + 0.5 < 1.3 * SAMPLE_DOCS / F.col("_n")).groupBy("lang", "_n", "_h").agg(F.min("part").alias("part"))
+    keyed = known.select("lang", F.xxhash64("text").alias("_h"), part.alias("part")).join(F.broadcast(languages), "lang")
+    # about 1.3 times the texts wanted pass this cut, and copies count once, so no task ranks all of a language
+    near = keyed.where(F.col("_h") / 2.0**64 + 0.5 < 1.3 * SAMPLE_DOCS / F.col("_d")).groupBy("lang", "_n", "_h").agg(F.min("part").alias("part"))
     top = Window.partitionBy("lang").orderBy("_h")
     chosen = near.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= SAMPLE_DOCS).select("lang", "_n", "_r", "part").collect()
     out: dict[str, bytes] = {}
@@ -102,7 +102,7 @@ class Classifier:
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), rejected for each row with doc_id and text."""
-    kept = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MOST_LANGUAGES * DICT_BYTES at most
+    kept = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICT_BYTES a language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(kept.value)
