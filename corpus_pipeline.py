@@ -8,12 +8,13 @@ stage's docs. All but the last return the columns of documents.
    fitted on the labels of sf_dir and the texts of docs.
 2. line dedup: lines that an earlier line equals or nearly equals go; a document goes if
    nothing but white space is left of a text that had more.
-3. n-gram Jaccard join: of each component of linked documents the one of smallest doc_id
-   stays, and all documents without words.
+3. n-gram Jaccard join: of each component of linked documents one stays, the least by doc_id
+   (null ids last), set and hash of the text, and all documents without words.
 4. secret scans: live secrets are replaced by a mark; no document goes.
 5. best-fit packing: one row for each piece of a document, with its sequence and offset.
 
-Rows of equal doc_id share their fate in stages 1 and 3. Null texts stay null up to the
+Rows of equal doc_id share their fate in stage 1, those of equal doc_id and text in stage 3; of
+rows without an id that are equal in text, stage 3 keeps one. Null texts stay null up to the
 last stage, where they are empty. Empty tables give empty results.
 """
 

@@ -111,7 +111,7 @@ def distinct_sets(batches: Iterator[pa.RecordBatch], position: int) -> Iterator[
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_id and class, 64 bits of it (null for the empty set), and the least hashes under each order."""
+    """doc_id, tie (hash of the text), n, set_id and class, 64 bits of it (null for the empty set), and the least hashes under each order."""
     names = [f"m{k}" for k in range(ROUNDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +119,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             found = sets(batch.column(1))
             least = [[int(tb.mix(s ^ seed).min().view(np.int64)) if len(s) else None for s in found] for seed in SEEDS]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(ids := [set_id(s) if len(s) else None for s in found], pa.binary()), pa.array([None if x is None else int(key_of([x])[0]) for x in ids], pa.int64()), *(pa.array(x, pa.int64()) for x in least)],
-                ["doc_id", "n", "set_id", "class", *names],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(ids := [set_id(s) if len(s) else None for s in found], pa.binary()), pa.array([None if x is None else int(key_of([x])[0]) for x in ids], pa.int64()), *(pa.array(x, pa.int64()) for x in least)],
+                ["doc_id", "tie", "n", "set_id", "class", *names],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id binary, class long, " + ", ".join(f"{m} long" for m in names))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, n long, set_id binary, class long, " + ", ".join(f"{m} long" for m in names))
 
 
 def frequency_levels(docs: DataFrame) -> Broadcast:
@@ -334,8 +334,8 @@ def opened_links(docs: DataFrame, pairs: DataFrame, members: DataFrame, scratch:
     return both.join(store, "set_id").groupBy("group", "part").applyInArrow(compare, "a binary, b binary")
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs, and set_id, component and first (the least doc_id) of every set that isn't empty."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     least = [f"m{k}" for k in range(ROUNDS)]
     signed = scratch.table(signatures(docs), "signed")
@@ -364,7 +364,12 @@ def joined(docs: DataFrame) -> DataFrame:
     joint = components(scratch.table(between, "between"), scratch, "joint")
     scratch.drop("group_sets", "opened")
     last = members.join(joint.withColumnsRenamed({"node": "cluster"}), "cluster", "left").select("set_id", F.coalesce("component", "cluster").alias("component"))
-    named = last.join(classes.select("set_id", "first"), "set_id")
+    return signed, last.join(classes.select("set_id", "first"), "set_id")
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    signed, named = components_of_sets(docs)
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_set = named.join(ids, "component").select("set_id", "component_id")
     whole = signed.where("set_id is not null").join(by_set, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -373,7 +378,23 @@ def joined(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the component_id of their component; rows without words stay, too."""
-    found = joined(docs)
-    gone = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component: the least by doc_id (nulls last), set and hash of the text. Rows without words stay, too.
+
+    Rows of equal doc_id and text are one document and stay together; of rows without an id that are equal in text one stays.
+    """
+    signed, named = components_of_sets(docs)
+    worded = signed.where("set_id is not null").select("set_id", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "set_id", "tie").alias("row"))
+    least = worded.groupBy("set_id").agg(F.min("row").alias("row"))
+    stays = named.join(least, "set_id").groupBy("component").agg(F.min("row").alias("stays"))
+    by_set = named.join(stays, "component").select("set_id", "stays")
+    # row and stays hold the set, so equal rows are of one component
+    gone = worded.join(by_set, "set_id").where("row <> stays").select("row.doc_id", "row.tie")
+    # documents without an id that stay but stand in several rows
+    several = worded.where("row.unknown").groupBy("row.tie").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(None).cast("long").alias("doc_id"), "tie")
+    names = docs.columns
+    at = lambda found: docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["tie"])
+    one = several.join(gone.where("doc_id is null").select("tie"), "tie", "left_anti")
+    copies = docs.where(docs["doc_id"].isNull()).join(one, F.xxhash64(docs["text"]) == one["tie"], "left_semi")
+    first = copies.groupBy(F.xxhash64("text").alias("tie")).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
+    without = gone.unionByName(several).distinct()
+    return docs.join(without, at(without), "left_anti").select(*names).unionByName(first)
