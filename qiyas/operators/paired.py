@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from qiyas.functions import text
 from qiyas.operators.scoring import score_table
-from qiyas.operators.statistics import holm, paired_summary
+from qiyas.operators.statistics import bootstrap_hash, holm, paired_summary
 
 
 def language_gap(scores: DataFrame, a: str = "en", b: str = "az") -> DataFrame:
@@ -30,10 +30,11 @@ def model_pairs(scores: DataFrame, language: str, items: DataFrame | None = None
     return holm(out.withColumn("_f", F.lit(1)), ["_f"], "p", ["model_a", "model_b", "prompt_style", "mode_order"]).drop("_f", "mode_order")
 
 
-def excess_damage(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+def excess_damage(scores: DataFrame, pairs: DataFrame, interval: str = "bootstrap") -> DataFrame:
     """Loss of the tuned model against its base in each language, and how much more it loses in az.
 
-    pairs(label, base, tuned). Items that any of the four runs lacks don't count.
+    pairs(label, base, tuned). Items that any of the four runs lacks don't count. The interval of the excess is the
+    percentile bootstrap of its items, or with "normal" the mean and 1.96 standard errors on both sides.
     """
     each = pairs.select("label", F.explode(F.array(F.struct(F.lit("base").alias("role"), F.col("base").alias("model")), F.struct(F.lit("tuned").alias("role"), F.col("tuned").alias("model")))).alias("x")).select("label", "x.*")
     s = scores.select("model", "language", "prompt_style", "item_id", "em_strict", "em_translit", text.has_cyrillic(F.col("prediction")).cast("double").alias("cyrillic")).join(F.broadcast(each), "model")
@@ -47,8 +48,12 @@ def excess_damage(scores: DataFrame, pairs: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.avg(az).alias("az_loss"), F.avg(en).alias("en_loss"), F.avg(az - en).alias("excess"),
         F.stddev_samp(az - en).alias("_sd"), F.avg(F.col("_bt") - F.col("_tt")).alias("translit_loss"), F.avg("_c").alias("cyrillic_share"),
     )
-    half = 1.96 * F.col("_sd") / F.sqrt("n")
-    out = out.withColumns({"low": F.col("excess") - half, "high": F.col("excess") + half})
+    if interval == "normal":
+        half = 1.96 * F.col("_sd") / F.sqrt("n")
+        out = out.withColumns({"low": F.col("excess") - half, "high": F.col("excess") + half})
+    else:
+        bounds = bootstrap_hash(four.withColumn("_x", az - en), ["label", "prompt_style"], "item_id", "_x")
+        out = out.join(bounds.select("label", "prompt_style", "low", "high"), ["label", "prompt_style"])
     damaged = (F.col("low") > 0) & (F.col("az_loss") > 0)
     verdict = F.when(damaged, "damaged").when(F.col("low") > 0, "gained less").when(F.col("high") < 0, "spared").otherwise("no difference")
     return out.withColumn("verdict", verdict).drop("_sd")

@@ -187,10 +187,21 @@ def gap_floor_marks(spark, sf_dir):
     return rounded(em.withColumn("mark", gates.floor_mark(F.col("em"))), "em")
 
 
+def _excess(spark, sf_dir, interval: str) -> DataFrame:
+    pairs = spark.createDataFrame(list(synthetic.PAIRS), "label string, base string, tuned string")
+    return rounded(paired.excess_damage(_scores(spark, sf_dir), pairs, interval), "az_loss", "en_loss", "excess", "translit_loss", "cyrillic_share", "low", "high")
+
+
 @query
 def excess_damage(spark, sf_dir):
-    pairs = spark.createDataFrame(list(synthetic.PAIRS), "label string, base string, tuned string")
-    return rounded(paired.excess_damage(_scores(spark, sf_dir), pairs), "az_loss", "en_loss", "excess", "translit_loss", "cyrillic_share", "low", "high")
+    """With the normal approximation of its SQL."""
+    return _excess(spark, sf_dir, "normal")
+
+
+@query
+def excess_damage_bootstrap(spark, sf_dir):
+    """With the percentile bootstrap; without SQL."""
+    return _excess(spark, sf_dir, "bootstrap")
 
 
 @query

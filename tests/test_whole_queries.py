@@ -1,10 +1,11 @@
 """Queries that cover the whole of their tables or settings, against brute force."""
 
+import hashlib
 import itertools
 
 import pytest
 
-from qiyas.operators import statistics
+from qiyas.operators import paired, statistics
 from qiyas.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,30 @@ def test_counted_arrangements(values):
     assert (round(observed, 9), round(p, 9), n) == permuted(values, inside)
     with pytest.raises(ValueError):
         statistics.counted_arrangements(values, [False] * len(values))
+
+
+def uniform(*parts):
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def percentile(values, q):
+    at = q * (len(values) - 1)
+    low = int(at)
+    values = sorted(values)
+    return values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+
+
+def bounds(x, resamples=1000):
+    means = [sum(x[uniform(0, r, i) % len(x)] for i in range(len(x))) / len(x) for r in range(resamples)]
+    return percentile(means, 0.025), percentile(means, 0.975)
+
+
+def test_excess_interval_is_a_bootstrap(spark):
+    # skewed: one item of twelve loses in az
+    loss = [1.0] + [0.0] * 11
+    rows = [(m, g, "default", i, 1.0 - (loss[i] if (m, g) == ("t", "az") else 0.0), 1.0, "x") for m in "bt" for g in ("az", "en") for i in range(12)]
+    scores = spark.createDataFrame(rows, "model string, language string, prompt_style string, item_id long, em_strict double, em_translit double, prediction string")
+    (got,) = paired.excess_damage(scores, spark.createDataFrame([("p", "b", "t")], "label string, base string, tuned string")).collect()
+    assert (got.low, got.high) == pytest.approx(bounds(loss)) and got.low == 0 and got.verdict == "no difference"
+    a, b = (QUERIES[x](spark, SF).collect() for x in ("excess_damage", "excess_damage_bootstrap"))
+    assert len(a) == len(b) > 0
