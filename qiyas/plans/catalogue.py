@@ -213,9 +213,20 @@ def _default_scores(spark, sf_dir) -> DataFrame:
     return _scores(spark, sf_dir).where("prompt_style = 'default'").select("model", "language", "item_id", "em_strict")
 
 
+def _bootstrap(spark, sf_dir, resamples: int) -> DataFrame:
+    return rounded(statistics.bootstrap_hash(_default_scores(spark, sf_dir), ["model", "language"], "item_id", "em_strict", resamples=resamples), "mean", "low", "high")
+
+
 @query
 def bootstrap_hash(spark, sf_dir):
-    return rounded(statistics.bootstrap_hash(_default_scores(spark, sf_dir), ["model", "language"], "item_id", "em_strict", resamples=200), "mean", "low", "high")
+    """The 200 resamples of its SQL."""
+    return _bootstrap(spark, sf_dir, 200)
+
+
+@query
+def bootstrap_hash_full(spark, sf_dir):
+    """At the library's setting; without SQL."""
+    return _bootstrap(spark, sf_dir, statistics.RESAMPLES)
 
 
 @query
@@ -254,9 +265,16 @@ def kappa(spark, sf_dir):
 
 @query
 def null_shuffle_hash(spark, sf_dir):
+    """The 20 shuffles of its SQL."""
     return statistics.null_shuffle_hash(synthetic.votes(spark, sf_dir), 20)
 
 
+@query
+def null_shuffle_hash_full(spark, sf_dir):
+    """At the reference's setting; without SQL."""
+    return statistics.null_shuffle_hash(synthetic.votes(spark, sf_dir), statistics.RESAMPLES)
+
+
 @query
 def key_balance_chi2(spark, sf_dir):
     return rounded(curation.key_balance(synthetic.votes(spark, sf_dir)), "share", "chi_square")

@@ -5,7 +5,8 @@ import itertools
 
 import pytest
 
-from qiyas.operators import paired, statistics
+from qiyas.operators import paired, scoring, statistics
+from qiyas.plans import synthetic
 from qiyas.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,24 @@ def test_excess_interval_is_a_bootstrap(spark):
     assert (got.low, got.high) == pytest.approx(bounds(loss)) and got.low == 0 and got.verdict == "no difference"
     a, b = (QUERIES[x](spark, SF).collect() for x in ("excess_damage", "excess_damage_bootstrap"))
     assert len(a) == len(b) > 0
+
+
+def shuffled(votes, r):
+    dealt = {}
+    for model in {v.model for v in votes}:
+        of = sorted((v for v in votes if v.model == model), key=lambda v: v.item_id)
+        order = sorted(of, key=lambda v: (uniform(0, r, model, v.item_id), v.item_id))
+        for place, vote in zip(of, order, strict=True):
+            dealt.setdefault((place.item_id, place.key), []).append(vote.letter)
+    return sum(len(x) >= 2 and len(set(x)) == 1 and x[0] != key for (_, key), x in dealt.items())
+
+
+def test_resampling_queries_at_their_full_settings(spark):
+    votes = synthetic.votes(spark, SF).collect()
+    got = {r["round"]: r.unanimous_wrong for r in QUERIES["null_shuffle_hash_full"](spark, SF).collect()}
+    assert sorted(got) == list(range(1000))
+    assert all(got[r] == shuffled(votes, r) for r in (0, 19, 20, 500, 999))
+    scores = scoring.scored(synthetic.runs(spark, SF)).where("prompt_style = 'default'").orderBy("item_id").collect()
+    for r in QUERIES["bootstrap_hash_full"](spark, SF).collect()[:2]:
+        x = [s.em_strict for s in scores if (s.model, s.language) == (r.model, r.language)]
+        assert r.n == len(x) and (r.low, r.high) == pytest.approx(bounds(x), abs=1e-8)
