@@ -301,15 +301,26 @@ def round_robin(spark, sf_dir):
     return sampling.round_robin(table(spark, sf_dir, "part"), ["p_brand"], ["p_partkey"], 4).select("p_partkey", "p_brand", "turn")
 
 
-@query
-def leak_check(spark, sf_dir):
+def _leaks(spark, sf_dir, passage: Column) -> DataFrame:
     spaced = lambda c: F.concat(F.lit(" "), text.normalize(c, STRICT), F.lit(" "))
-    items = table(spark, sf_dir, "benchmark").select("item_id", spaced(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("needle")).where("needle <> '  '")
+    items = table(spark, sf_dir, "benchmark").select("item_id", spaced(passage).alias("needle")).where("needle <> '  '")
     docs = table(spark, sf_dir, "documents").select("doc_id", spaced(F.col("text")).alias("n"))
     # a stated set of needles against all rows
     return docs.join(items, F.contains(F.col("n"), F.col("needle"))).select("doc_id", "item_id")
 
 
+@query
+def leak_check(spark, sf_dir):
+    """The openings of 8 words of its SQL."""
+    return _leaks(spark, sf_dir, F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
+
+
+@query
+def leak_check_whole(spark, sf_dir):
+    """Whole benchmark texts; without SQL."""
+    return _leaks(spark, sf_dir, F.col("text"))
+
+
 @query
 def single_valued_subjects(spark, sf_dir):
     return curation.single_valued(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
@@ -383,12 +394,12 @@ def duplicate_questions(spark, sf_dir):
     return h.join(first, "h").where("doc_id <> first").select("doc_id", "first")
 
 
-def _draft_rows(spark, sf_dir) -> DataFrame:
+def _draft_rows(spark, sf_dir, question: Column) -> DataFrame:
     w, d = F.split("text", "[ \\n]+"), F.col("doc_id")
     none: Column = F.array(F.lit("x"))
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("az-"), F.lpad((d - (d % 50 == 7).cast("int")).cast("string"), 4, "0")).alias("id"), d.alias("line"),
-        F.concat(F.array_join(F.slice(w, 1, 6), " "), F.when(d % 4 == 0, "?").otherwise("")).alias("question_az"), F.lit("q").alias("question_en"),
+        F.concat(F.array_join(question, " "), F.when(d % 4 == 0, "?").otherwise("")).alias("question_az"), F.lit("q").alias("question_en"),
         F.try_element_at(w, F.when(d % 10 == 0, 2).otherwise(9)).alias("answer"), F.when(d % 9 == 0, "").otherwise("x").alias("answer_en"),
         none.alias("answer_aliases"), F.col("lang").alias("category"), F.lit("s").alias("source"), F.lit("manual").alias("provenance"), F.lit("pending").alias("verified_by"),
     )
@@ -396,7 +407,15 @@ def _draft_rows(spark, sf_dir) -> DataFrame:
 
 @query
 def validate_items(spark, sf_dir):
-    return curation.validate_items(_draft_rows(spark, sf_dir))
+    """Questions of 6 words, as its SQL has them."""
+    return curation.validate_items(_draft_rows(spark, sf_dir, F.slice(F.split("text", "[ \\n]+"), 1, 6)))
+
+
+@query
+def validate_items_whole(spark, sf_dir):
+    """Whole texts as questions, but for the ninth word where that is the answer; without SQL."""
+    w = F.split("text", "[ \\n]+")
+    return curation.validate_items(_draft_rows(spark, sf_dir, F.filter(w, lambda _, i: (F.col("doc_id") % 10 == 0) | (i != 8))))
 
 
 ORACLES = {k: v for k, v in oracle.ORACLES.items() if k in QUERIES}

@@ -85,3 +85,25 @@ def test_resampling_queries_at_their_full_settings(spark):
     for r in QUERIES["bootstrap_hash_full"](spark, SF).collect()[:2]:
         x = [s.em_strict for s in scores if (s.model, s.language) == (r.model, r.language)]
         assert r.n == len(x) and (r.low, r.high) == pytest.approx(bounds(x), abs=1e-8)
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    opening, rest = "one two three four five six seven eight", "nine ten eleven twelve thirteen"
+    texts = [(1, f"before {opening} {rest} after"), (2, f"{opening} and then other words"), (3, f"{opening} and then more words"), (4, f"{opening} and then other words"), (10, f"{opening} 9 10"), (11, f"{opening}\n1 word"), (12, f"{opening} 2 word")]
+    spark.createDataFrame([(*t, "en") for t in texts], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, f"{opening} {rest}"), (1, "  ")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_leaks_are_whole_texts(spark, folder):
+    assert [tuple(r) for r in QUERIES["leak_check_whole"](spark, folder).collect()] == [(1, 0)]
+    assert QUERIES["leak_check"](spark, folder).count() == 7
+
+
+def test_questions_are_whole_texts(spark, folder):
+    rows = QUERIES["validate_items_whole"](spark, folder).collect()
+    lines = lambda message: sorted(r.line for r in rows if r.message == message)
+    # 2 and 4 are equal, 11 and 12 but for the answer
+    assert lines("duplicate question") == [4, 12]
+    assert lines("occurs in the question") == [10]
