@@ -4,19 +4,23 @@ A document's set holds its distinct word n-grams. Two sets link when the interse
 least ``SHARE`` percent of the union; the result is each document's component of links.
 The join is exact.
 
-Equal sets are one class. Classes are partitioned into groups of similar ones: classes with
-a common least hash, under any of ``ROUNDS`` orders, are compared with one pivot of theirs,
-and what links to a pivot is joined into clusters; a group is up to ``GROUP`` classes of one
-cluster. Links inside a cluster tell nothing new, so what is left to find is links between
-clusters, and no pairs inside a large cluster of near copies are ever listed.
-
-For those, the matrix of tokens and groups is kept in rows. Under one order of all tokens,
-rare ones first, linked sets share a token among the first few of each (a prefix whose length
-follows from the threshold), so only prefixes are looked up: a query class and a group
-meet if they share such a token at places that still allow a link. Then the overlap of
-the query with the union of the group's tokens is bounded, first by bitmaps of leading bits, then exactly; only if it reaches the share of
-the query that a link needs is the group opened, and its classes compared one by one until
-one links.
+Equal sets are one class. Classes with a common least hash, under any of ``ROUNDS`` orders,
+are dealt to blocks of up to ``GROUP``, each with the bucket's first class, and all links
+within a block are found at once; they make clusters, and a group is up to ``GROUP`` classes
+of one cluster. Links inside a cluster tell nothing new, so what is left to find is links
+between clusters, and no pairs inside a large cluster of near copies are ever listed.
+
+For those, the matrix of tokens and groups is kept in rows. All tokens have one order: by the
+number of classes that hold them, counted exactly in buckets of tokens, then by hash. Linked
+sets share a token among the first few of each (a prefix whose length follows from the
+threshold), so only prefixes are looked up: a query class and a group meet if they share such
+a token at places that still allow a link. Then the overlap of the query with the union of
+the group's tokens is bounded; only if it reaches the share of the query that a link needs is
+the group opened, and its classes compared one by one until one links.
+
+Tokens that a ``HEAVY`` share of ``SAMPLE`` classes hold come last in the order and aren't
+counted, so no bucket gets a row of most classes. The sample (the least set_ids) only decides
+the order; any order gives the same result.
 
 Defined results: null or empty texts, and texts without words, have empty sets, link with
 nothing and are components of their own; a text of fewer words than n has one n-gram, its
@@ -32,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +48,10 @@ WORDS, SHARE = 5, 75
 ROUNDS, GROUP = 3, 64
 #: Queries that one task compares with one group.
 QUERIES = 256
-#: Counters of the sketch by which tokens are ordered (a power of two); any sketch gives an order, and so the same result.
-COUNTERS = 20
+#: Tokens that one task puts in order at once, and those that a task gathers before it deals them out.
+BUCKET_TOKENS, GATHERED = 3_000_000, 2_000_000
+#: Classes from which the heaviest tokens are known, and their least share.
+SAMPLE, HEAVY = 4000, 0.005
 COEFFICIENTS = tb.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 SEEDS = tb.mix(np.arange(1001, 1001 + ROUNDS, dtype=np.uint64))
 
@@ -126,137 +131,227 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, n long, set_id binary, class long, " + ", ".join(f"{m} long" for m in names))
 
 
-def frequency_levels(docs: DataFrame) -> Broadcast:
-    """For each counter, the logarithm of how far its tokens' count over all documents is above the mean.
+def fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """set_id and tokens (packed and sorted) of the wanted classes; a bitmap spares the texts of most others."""
+    keys = scratch.table(wanted.select("set_id").distinct(), f"{name}_keys")
 
-    2**COUNTERS bytes. Each task adds up its own counters in blocks; the blocks are added.
-    """
-    block = 1 << 14
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(key_of(ids) if ids else np.zeros(0, np.int64))], ["key"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS, np.int64)
-        for _, found in distinct_sets(batches, 0):
-            if found:
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
-        grid = total.reshape(-1, block)
-        there = np.flatnonzero(grid.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([grid[i].astype(np.int32 if grid[i].max() < 1 << 31 else np.int64).tobytes() for i in there], pa.binary())], ["block", "counts"])
+    bitmap = broadcast_bitmap(keys.mapInArrow(pack, "key long"))
 
-    def numbers(x: bytes) -> np.ndarray:
-        return np.frombuffer(x, np.int32 if len(x) == 4 * block else np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member = Member(bitmap)
+        for ids, found in distinct_sets(batches, 0):
+            use = np.flatnonzero(member(key_of(ids))) if ids else []
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in use], pa.binary()), pa.array([found[i].tobytes() for i in use], pa.binary())], ["set_id", "tokens"])
 
-    def add(key, table):
-        out = sum((numbers(x.as_py()).astype(np.int64) for x in table.column("counts")), np.zeros(block, np.int64))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+    every = docs.select("text").mapInArrow(run, "set_id binary, tokens binary")
+    out = scratch.table(every.join(keys, "set_id", "left_semi").dropDuplicates(["set_id"]), name)
+    bitmap.destroy()
+    scratch.drop(f"{name}_keys")
+    return out
 
-    rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    total = np.zeros(1 << COUNTERS, np.float64)
-    for r in rows:
-        total[r["block"] * block : (r["block"] + 1) * block] = numbers(bytes(r["counts"]))
-    level = np.floor(2 * np.log2(np.maximum(total / max(total.mean(), 1), 1))).astype(np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(level)
 
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= SHARE * (len(a) + len(b) - both)
 
-def ordered(s: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A set in the common order of tokens: by level, then by hash. Hashes below stay sorted within a level."""
-    return s[np.argsort(level[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)], kind="stable")]
 
+def tokens(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint64)
 
-def prefix_tokens(docs: DataFrame, levels: Broadcast) -> DataFrame:
-    """key and class: the tokens that a lookup needs, of every class (64 bits of its set_id)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, found in distinct_sets(batches, 0):
-            keys = [ordered(s, levels.value)[: probe_length(len(s))] for s in found]
-            of = np.repeat(key_of(ids), [len(k) for k in keys]) if ids else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)), pa.array(of)], ["key", "class"])
+def overlaps(found: list[np.ndarray], width: int = 1 << 15) -> np.ndarray:
+    """The sizes of all intersections of a block of sets."""
+    flat, owner = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    column = np.cumsum(new) - 1
+    again = np.bincount(column)[column] > 1  # tokens of one set count for nothing
+    column, owner = np.unique(column[again], return_inverse=True)[1], owner[again]
+    out = np.zeros((len(found), len(found)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [at, at + width])
+        m = np.zeros((len(found), width), np.float32)
+        m[owner[a:b], column[a:b] - at] = 1
+        out += (m @ m.T).astype(np.int64)
+    return out
 
-    return docs.select("text").mapInArrow(run, "key long, class long")
 
+def block_links(ids: list[bytes], found: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """A star for every component of the links inside a block of distinct sets."""
+    size = np.array([len(x) for x in found])
+    both = overlaps(found)
+    link = 100 * both >= SHARE * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(link, True)
+    label = np.arange(len(found))
+    while True:
+        least = np.where(link, label[None, :], len(found)).min(axis=1)
+        if (least == label).all():
+            return [(ids[i], ids[k]) for i, k in enumerate(label) if i != k]
+        label = least
 
-def postings(docs: DataFrame, levels: Broadcast, shared: Broadcast) -> DataFrame:
-    """The rows of the matrix: prefix tokens that may occur in several classes, with the class, its size n and the place in it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member = Member(shared)
-        for ids, found in distinct_sets(batches, 0):
-            tokens = [ordered(s, levels.value)[: probe_length(len(s))].view(np.int64) for s in found]
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            length = np.array([len(t) for t in tokens], np.int64)
-            of = np.repeat(np.arange(len(tokens)), length)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
-            use = member(flat) if len(flat) else np.zeros(0, bool)
-            sizes, keys = np.array([len(s) for s in found], np.int64), key_of(ids) if ids else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[use]), pa.array(keys[of[use]]), pa.array(sizes[of[use]] << 32 | place[use])], ["token", "class", "n_place"])
+def similar_links(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """a, b: links that join what is linked within blocks of classes with a common least hash; and the heavy tokens, the heaviest last."""
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("round"), F.col(f"m{k}").alias("key")) for k in range(ROUNDS)]))
+    each = classes.select("set_id", "n", keys.alias("k")).select("set_id", "n", "k.*")
+    buckets = each.groupBy("round", "key").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("content"), F.sum("n").alias("tokens")).where("c > 1")
+    # the same classes under several orders are one bucket
+    parts = F.ceil(F.greatest(F.col("c") / (GROUP - 1), F.col("tokens") / BUCKET_TOKENS)).cast("int")
+    buckets = scratch.table(buckets.dropDuplicates(["first", "last", "c", "content"]).select("round", "key", "first", parts.alias("parts")), "buckets")
+    block = lambda part: F.xxhash64("round", "key", part).alias("block")
+    dealt = each.join(buckets, ["round", "key"]).select(block(F.pmod(F.xxhash64("set_id", "round"), F.col("parts")).cast("int")), "set_id")
+    firsts = buckets.where("parts > 1").select("round", "key", F.col("first").alias("set_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(block(F.col("part")), "set_id")
+    blocks = scratch.table(dealt.union(firsts).distinct(), "blocks")
+    sample = scratch.table(classes.select("set_id").orderBy("set_id").limit(SAMPLE), "sample")
+    store = fetched(docs, blocks.select("set_id").union(sample), scratch, "block_sets")
+    heavy = heavy_tokens(store.join(F.broadcast(sample), "set_id", "left_semi"))
 
-    return docs.select("text").mapInArrow(run, "token long, class long, n_place long").distinct()
+    def compare(key, table):
+        found = dict(zip(table.column("set_id").to_pylist(), (tokens(x.as_py()) for x in table.column("tokens")), strict=True))
+        stars = block_links(list(found), list(found.values()))
+        return pa.table({"a": pa.array([a for a, _ in stars], pa.binary()), "b": pa.array([b for _, b in stars], pa.binary())})
 
+    links = scratch.table(blocks.join(store, "set_id").groupBy("block").applyInArrow(compare, "a binary, b binary"), "similar_links")
+    scratch.drop("buckets", "blocks", "sample", "block_sets")
+    return links, heavy
 
-def outline(s: np.ndarray) -> bytes:
-    """A set's size and a bitmap of the leading bits of its tokens, about a byte for each: 8 to 16 bits a token, a power of two."""
-    order = max(6, (8 * len(s) - 1).bit_length())
-    bits = np.zeros(1 << order, bool)
-    bits[(s >> np.uint64(64 - order)).astype(np.int64)] = True
-    return len(s).to_bytes(4, "little") + np.packbits(bits).tobytes()
 
+def heavy_tokens(sampled: DataFrame) -> np.ndarray:
+    """Tokens that a HEAVY share of SAMPLE sets hold, by count, then by hash; at most 1 / HEAVY times a set's mean size."""
 
-def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap of fewer leading bits."""
-    return bits.reshape(size, -1).any(axis=1)
+    def count(key, table):
+        found, times = np.unique(np.concatenate([tokens(x.as_py()) for x in table.column("tokens")]), return_counts=True)
+        use = np.flatnonzero(times >= max(HEAVY * SAMPLE, 2))
+        use = use[np.lexsort((found[use], times[use]))]
+        return pa.table({"heavy": pa.array([found[use].tobytes()], pa.binary())})
 
+    rows = sampled.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(count, "heavy binary").collect()  # one row
+    return tokens(bytes(rows[0]["heavy"])) if rows else np.zeros(0, np.uint64)
 
-def opened_outlines(x: bytes) -> tuple[int, np.ndarray]:
-    return int.from_bytes(x[:4], "little"), np.unpackbits(np.frombuffer(x, np.uint8, offset=4)).astype(bool)
 
+def bucket_of(found: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets follow the order of hashes."""
+    return ((found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
-def fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str, form=np.ndarray.tobytes) -> DataFrame:
-    """set_id and tokens (packed and sorted, or another form) of the wanted classes; a bitmap spares the texts of most others."""
-    keys = wanted.select("set_id").distinct()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(key_of(ids) if ids else np.zeros(0, np.int64))], ["key"])
+DEALT = "bucket int, classes binary, counts binary, tokens binary"
 
-    bitmap = broadcast_bitmap(keys.mapInArrow(pack, "key long"))
+
+def dealt_tokens(docs: DataFrame, heavy, buckets: int) -> DataFrame:
+    """Every set's tokens by bucket; a row holds those of many sets: the classes, how many tokens each has, and the tokens.
+
+    Heavy tokens go to buckets below 0, a class's all to the same.
+    """
+
+    def rows(found: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        keys = key_of(list(found))
+        flat, owner = np.concatenate(list(found.values())), np.repeat(np.arange(len(found)), [len(s) for s in found.values()])
+        bucket = bucket_of(flat, buckets)
+        if len(heavy.value):
+            known = np.sort(heavy.value)
+            last = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat
+            bucket[last] = -1 - np.mod(keys[owner[last]], buckets)
+        order = np.argsort(bucket, kind="stable")
+        flat, owner, bucket = flat[order], owner[order], bucket[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])
+        start = np.flatnonzero(new)
+        count, key, of = np.diff(np.append(start, len(flat))).astype(np.uint32), keys[owner[start]], bucket[start]
+        there, at = np.unique(of, return_index=True)
+        at = [*at.tolist(), len(of)]
+        edge = [*start.tolist(), len(flat)]
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), cut(key), cut(count), pa.array([flat[edge[a] : edge[b]].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["bucket", "classes", "counts", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member = Member(bitmap)
+        gathered: dict[bytes, np.ndarray] = {}
+        size = 0
         for ids, found in distinct_sets(batches, 0):
-            use = np.flatnonzero(member(key_of(ids))) if ids else []
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in use], pa.binary()), pa.array([form(found[i]) for i in use], pa.binary())], ["set_id", "tokens"])
+            gathered.update(zip(ids, found, strict=True))
+            size += sum(map(len, found))
+            if size >= GATHERED:
+                yield rows(gathered)
+                gathered, size = {}, 0
+        if gathered:
+            yield rows(gathered)
 
-    every = docs.select("text").mapInArrow(run, "set_id binary, tokens binary")
-    return scratch.table(every.join(keys, "set_id", "left_semi").dropDuplicates(["set_id"]), name)
+    return docs.select("text").mapInArrow(run, DEALT)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SHARE * (len(a) + len(b) - both)
+def opened_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Class and token of every entry of rows of ``dealt_tokens``."""
+    join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) if table.num_rows else np.zeros(0, kind)
+    return np.repeat(join("classes", np.int64), join("counts", np.uint32)), join("tokens", np.uint64)
 
 
-def tokens(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.uint64)
+def once(found: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (token, class), by token."""
+    order = np.lexsort((of, found))
+    found, of = found[order], of[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+    return found[new], of[new]
 
 
-def pivot_links(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: classes that link to a pivot with which they share a least hash."""
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("round"), F.col(f"m{k}").alias("key")) for k in range(ROUNDS)]))
-    each = classes.select("set_id", "n", keys.alias("k")).select("set_id", "n", "k.*")
-    # the pivot is the class of least set_id; one row of each task moves for a key
-    pivots = each.groupBy("round", "key").agg(F.min(F.struct("set_id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    fits = (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * SHARE) & (F.col("set_id") != F.col("p.set_id"))
-    pairs = scratch.table(each.join(pivots, ["round", "key"]).where(fits).select(F.col("set_id").alias("a"), F.col("p.set_id").alias("b")).distinct(), "pairs")
-    store = fetched(docs, pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))), scratch, "pivot_sets")
+#: A heavy token's count is its place among heavy tokens, above all others.
+HEAVY_COUNT = 1 << 31
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            use = [linked(tokens(x.as_buffer()), tokens(y.as_buffer())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(use, pa.bool_())), batch.column(1).filter(pa.array(use, pa.bool_()))], ["a", "b"])
 
-    first = pairs.join(store.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = first.join(store.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return scratch.table(both.mapInArrow(run, "a binary, b binary"), "pivot_links")
+def postings(docs: DataFrame, members: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
+    """The rows of the matrix: token, set_id, cluster, group, size n and place, of prefix tokens that several classes hold."""
+    kept = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def shared(key, table):
+        of, found = opened_rows(table)
+        if key[0].as_py() < 0:
+            found, of = once(found, of)
+            order = np.argsort(kept.value, kind="stable")
+            count = order[np.searchsorted(kept.value, found, sorter=order)] + HEAVY_COUNT
+        else:
+            order = np.argsort(found, kind="stable")
+            found, of = found[order], of[order]
+            again = np.zeros(len(found), bool)
+            again[1:] = found[1:] == found[:-1]
+            again[:-1] |= again[1:].copy()
+            found, of = once(found[again], of[again])
+            _, at, count = np.unique(found, return_inverse=True, return_counts=True)
+            count = np.minimum(count, HEAVY_COUNT - 1)[at]
+            use = count > 1
+            found, of, count = found[use], of[use], count[use]
+        shard = np.mod(of, buckets)
+        order = np.argsort(shard, kind="stable")
+        there, at = np.unique(shard[order], return_index=True)
+        parts = [order[a:b] for a, b in zip(at, [*at[1:], len(order)])]
+        cut = lambda x: pa.array([x[i].tobytes() for i in parts], pa.binary())
+        return pa.table({"shard": pa.array(there, pa.int32()), "classes": cut(of), "tokens": cut(found), "counts": cut(count.astype(np.uint32))})
+
+    def prefixes(left, right):
+        join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in left.column(name)]) if left.num_rows else np.zeros(0, kind)
+        of, found, count = join("classes", np.int64), join("tokens", np.uint64), join("counts", np.uint32)
+        order = np.lexsort((found, count, of))
+        of, found = of[order], found[order]
+        key, n = right.column("class").to_numpy(), right.column("n").to_numpy()
+        start, stop = np.searchsorted(of, key), np.searchsorted(of, key, side="right")
+        # the first tokens of a set are those that no other holds; sets that share 64 bits of their ids keep every token
+        alone = np.bincount(np.unique(key, return_inverse=True)[1], minlength=1)[np.unique(key, return_inverse=True)[1]] == 1 if len(key) else np.zeros(0, bool)
+        own = np.where(alone, n - (stop - start), 0)
+        most = np.where(alone, np.clip(n - -(-n * SHARE // 100) + 1 - own, 0, stop - start), stop - start)
+        row = np.repeat(np.arange(len(key)), most)
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(most) - most, most)
+        place = np.where(alone[row], own[row] + rank, 0)
+        take = pa.array(row)
+        return pa.table({"token": pa.array(found[start[row] + rank].view(np.int64)), **{c: right.column(c).take(take) for c in ("set_id", "cluster", "group")}, "n": pa.array(n[row], pa.int32()), "place": pa.array(place, pa.int32())})
+
+    told = dealt_tokens(docs, kept, buckets).groupBy("bucket").applyInArrow(shared, "shard int, classes binary, tokens binary, counts binary")
+    known = members.select(F.pmod("class", F.lit(buckets)).cast("int").alias("shard"), "class", "n", "set_id", "cluster", "group")
+    return told.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(prefixes, "token long, set_id binary, cluster long, group long, n int, place int")
 
 
 def candidates(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -264,12 +359,12 @@ def candidates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     # tokens of a single cluster, nearly all by now, have nothing to tell
     crossing = rows.groupBy("token").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a != b").select("token")
     met = scratch.table(rows.join(crossing, "token", "left_semi"), "crossing")
-    x = met.where(F.col("place") < F.col("n") - F.ceil(F.col("n") * 2 * SHARE / (100 + SHARE)) + 1).select("token", F.col("group").alias("group"), F.col("cluster").alias("xc"), F.col("n").alias("xn"), F.col("place").alias("xp"))
-    # of a group's equal rows for a token one is enough
-    x = x.distinct()
-    y = met.select("token", F.col("set_id").alias("query"), F.col("cluster").alias("yc"), F.col("n").alias("yn"), F.col("place").alias("yp"))
-    overlap = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
-    fits = (F.col("xn") <= F.col("yn")) & (F.col("xn") * 100 >= F.col("yn") * SHARE) & (overlap * (100 + SHARE) >= (F.col("xn") + F.col("yn")) * SHARE)
+    # a group's rows for a token are one: its sizes, and the most tokens from there on
+    x = met.where(F.col("place") < F.col("n") - F.ceil(F.col("n") * 2 * SHARE / (100 + SHARE)) + 1)
+    x = x.groupBy("token", "group", F.col("cluster").alias("xc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("xleft"))
+    y = met.select("token", F.col("set_id").alias("query"), F.col("cluster").alias("yc"), F.col("n").alias("yn"), (F.col("n") - F.col("place")).alias("yleft"))
+    smaller = F.greatest("least", F.ceil(F.col("yn") * SHARE / 100))
+    fits = (F.col("least") <= F.col("yn")) & (F.col("most") * 100 >= F.col("yn") * SHARE) & (F.least("xleft", "yleft") * (100 + SHARE) >= (smaller + F.col("yn")) * SHARE)
     return x.join(y, "token").where((F.col("xc") != F.col("yc")) & fits).select("query", "group").distinct()
 
 
@@ -283,34 +378,6 @@ def dealt(pairs: DataFrame, members: DataFrame, scratch: Scratch, name: str) ->
     return scratch.table(asked.union(there), name)
 
 
-def qualified(docs: DataFrame, pairs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs of query and group that the outlines of their tokens don't rule out.
-
-    A place of the query's bitmap that the group's union lacks is a token at least that no class of the group has.
-    """
-
-    def bound(key, table):
-        asks, ids = table.column("asks").to_pylist(), table.column("set_id").to_pylist()
-        found = [opened_outlines(x.as_py()) for x in table.column("tokens")]
-        inside = [found[i][1] for i, q in enumerate(asks) if not q]
-        kept = []
-        if inside:
-            size = min(map(len, inside))
-            union = np.logical_or.reduce([folded(x, size) for x in inside])
-            for i, q in enumerate(asks):
-                if q:
-                    n, bits = found[i]
-                    common = min(len(bits), size)
-                    missing = int((folded(bits, common) & ~folded(union, common)).sum())
-                    if 100 * (n - missing) >= SHARE * n:
-                        kept.append(ids[i])
-        return pa.table({"query": pa.array(kept, pa.binary()), "group": pa.array([key[0].as_py()] * len(kept), pa.binary())})
-
-    both = dealt(pairs, members, scratch, "outlined")
-    store = fetched(docs, both, scratch, "outlines", outline)
-    return scratch.table(both.join(store, "set_id").groupBy("group", "part").applyInArrow(bound, "query binary, group binary"), "qualified")
-
-
 def opened_links(docs: DataFrame, pairs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: a query class and one class of a group that it links with, of every group that must be opened and has one."""
     both = dealt(pairs, members, scratch, "opened")
@@ -341,29 +408,24 @@ def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = scratch.table(signatures(docs), "signed")
     classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("n").alias("n"), F.min("doc_id").alias("first"), F.min("class").alias("class"), *[F.min(m).alias(m) for m in least])
     classes = scratch.table(classes, "classes")
-    clusters = components(pivot_links(docs, classes, scratch), scratch, "clusters")
-    scratch.drop("pivot_sets")
-    of = classes.join(clusters.withColumnsRenamed({"node": "set_id"}), "set_id", "left").select("set_id", "class", F.coalesce("component", "set_id").alias("cluster"))
+    links, heavy = similar_links(docs, classes, scratch)
+    clusters = components(links, scratch, "clusters")
+    of = classes.join(clusters.withColumnsRenamed({"node": "set_id"}), "set_id", "left").select("set_id", "class", "n", F.coalesce("component", "set_id").alias("component"))
     of = scratch.table(of, "of")
-    size = of.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")).where("groups > 1")
-    group = F.concat("cluster", F.coalesce(F.pmod(F.xxhash64("set_id"), F.col("groups")), F.lit(0)).cast("string").cast("binary"))
-    members = scratch.table(of.join(size, "cluster", "left").select("set_id", "class", "cluster", group.alias("group")), "members")
-    levels = frequency_levels(docs)
-    shared = broadcast_bitmap(prefix_tokens(docs, levels).groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("key"))
-    # sets that share 64 bits get each other's rows as well: more candidates, the same links
-    found = postings(docs, levels, shared).join(members, "class")
-    rows = scratch.table(found.select("token", "set_id", "cluster", "group", F.shiftright("n_place", 32).cast("int").alias("n"), F.col("n_place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place")), "postings")
+    size = of.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")).where("groups > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("set_id"), F.col("groups")), F.lit(0)).cast("int")
+    named = of.join(size, "component", "left").select("set_id", "class", "n", "component", F.xxhash64("component").alias("cluster"), F.xxhash64("component", part).alias("group"))
+    members = scratch.table(named, "members")
+    buckets = max(1, -(-(classes.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
+    rows = scratch.table(postings(docs, members, heavy, buckets), "postings")
     pairs = scratch.table(candidates(rows, scratch), "candidates")
     scratch.drop("postings", "crossing")
-    of_groups = lambda found: members.join(found.select("group").distinct(), "group", "left_semi")
-    left = qualified(docs, pairs, of_groups(pairs), scratch)
-    scratch.drop("outlined", "outlines")
-    links = opened_links(docs, left, of_groups(left), scratch)
-    name = members.select("set_id", "cluster")
-    between = links.join(name.withColumnsRenamed({"set_id": "a", "cluster": "ca"}), "a").join(name.withColumnsRenamed({"set_id": "b", "cluster": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    links = opened_links(docs, pairs, members.join(pairs.select("group").distinct(), "group", "left_semi"), scratch)
+    name = members.select("set_id", "component")
+    between = links.join(name.withColumnsRenamed({"set_id": "a", "component": "ca"}), "a").join(name.withColumnsRenamed({"set_id": "b", "component": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joint = components(scratch.table(between, "between"), scratch, "joint")
     scratch.drop("group_sets", "opened")
-    last = members.join(joint.withColumnsRenamed({"node": "cluster"}), "cluster", "left").select("set_id", F.coalesce("component", "cluster").alias("component"))
+    last = members.join(joint.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("set_id", F.coalesce("whole", "component").alias("component"))
     return signed, last.join(classes.select("set_id", "first"), "set_id")
 
 
