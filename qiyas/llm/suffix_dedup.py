@@ -21,7 +21,7 @@ prefix of WINDOW bytes are equal, and all but the earliest go.
 (Whole documents as the collection's members would need as many rounds over all the data as
 the longest document has bytes; segments need less than 2 * WINDOW.)
 
-A group of more than ``HOT_GROUP`` unequal segments isn't sorted by one task: its windows
+A group of more than ``HOT_GROUP`` unequal segments that may share a window isn't sorted by one task: its windows
 meet one by one under digests of their bytes, with the same result.
 
 Defined results: null text is empty; null doc_id counts as the smallest; rows of equal
@@ -33,6 +33,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import tempfile
 from collections.abc import Iterator
@@ -47,8 +48,9 @@ from qiyas.llm.bitmaps import Member, broadcast_bitmap
 from qiyas.llm.scratch import Scratch
 
 WINDOW, GRAM, RUN = 100, 32, 16
-#: Two segments of one anchor that share a window share so many bytes next to the anchor, before or after it.
-BESIDE = (WINDOW - GRAM) // 2
+#: Two segments of one anchor that share a window share the anchor with k * STEP bytes before it and BESIDE - k * STEP after it, for some k.
+STEP = 17
+BESIDE = WINDOW - GRAM - STEP
 #: Bytes of segments that one task sorts at once.
 SORTED_BYTES = 6 << 20
 
@@ -149,12 +151,26 @@ def anchor_places(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     return last + grams.argmin(axis=1)
 
 
-PLACES = "anchor long, d1 long, d2 long, doc_id long, tie long, start int, windows int, bytes binary, before long, after long"
+def beside_keys(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """For each k, the hash of the bytes around a segment's anchor that a shared window holds at least; 0 where the segment ends before."""
+    if not len(first):
+        return pa.array([], pa.list_(pa.int64()))
+    place = anchor_places(raw, first, last)
+    sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
+    keys = np.zeros((len(first), BESIDE // STEP + 1), np.int64)
+    for k in range(keys.shape[1]):
+        low, high = place - k * STEP, place + GRAM + BESIDE - k * STEP
+        use = (low >= first) & (high <= last + WINDOW)
+        keys[use, k] = tb.span_hashes(sums, low[use], high[use], inverse).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
+
+
+PLACES = "anchor long, d1 long, doc_id long, tie long, start int, windows int, bytes binary, beside array<long>"
 
 
 def places(docs: DataFrame, shared, with_bytes: bool) -> DataFrame:
-    """The segments whose anchor may be in a bitmap; d1, d2: digest of their bytes; bytes only where asked for."""
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    """The segments whose anchor may be in a bitmap; d1: hash of their bytes; bytes only where asked for."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = Member(shared)
@@ -163,17 +179,13 @@ def places(docs: DataFrame, shared, with_bytes: bool) -> DataFrame:
             of, first, last, anchor = segments(raw, at)
             use = member(anchor) if len(anchor) else np.zeros(0, bool)
             of, first, last, anchor = of[use], first[use], last[use], anchor[use]
-            data = raw.tobytes()
-            parts = [data[a : b + WINDOW] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            digest = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
-            row = pa.array(of)
-            # every window of a segment holds the anchor: the anchor stands behind the last window's start
+            data = raw.tobytes() if with_bytes else b""
+            parts = [data[a : b + WINDOW] for a, b in zip(first.tolist(), last.tolist(), strict=True)] if with_bytes else [None] * len(first)
             sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
-            place = anchor_places(raw, first, last)
-            low, high = np.maximum(place - BESIDE, first), np.minimum(place + GRAM + BESIDE, last + WINDOW)
-            before = pa.array(tb.span_hashes(sums, low, place + GRAM, inverse).view(np.int64), mask=place - low < BESIDE)
-            after = pa.array(tb.span_hashes(sums, place, high, inverse).view(np.int64), mask=high - place - GRAM < BESIDE)
-            cols = [anchor, digest[:, 0], digest[:, 1], batch.column(0).take(row), batch.column(1).take(row), (first - at[of]).astype(np.int32), (last - first + 1).astype(np.int32), parts if with_bytes else [None] * len(parts), before, after]
+            digest = tb.span_hashes(sums, first, last + WINDOW, inverse).view(np.int64)
+            row = pa.array(of)
+            beside = beside_keys(raw, first, last) if with_bytes else pa.nulls(len(first), pa.list_(pa.int64()))
+            cols = [anchor, digest, batch.column(0).take(row), batch.column(1).take(row), (first - at[of]).astype(np.int32), (last - first + 1).astype(np.int32), parts, beside]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in PLACES.split(", ")])
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, PLACES)
@@ -213,8 +225,8 @@ class Collection:
         self.length = np.array([len(s) for s in strings], np.int64)
         self.text = np.frombuffer(b"".join(strings), np.uint8)
         self.end = np.cumsum(self.length)
-        with tempfile.TemporaryDirectory() as folder:
-            self.files = [os.path.join(folder, name) for name in ("bwt", "lcp")]
+        with tempfile.TemporaryDirectory() as folder, open(os.path.join(folder, "bwt"), "w+b") as a, open(os.path.join(folder, "lcp"), "w+b") as b:
+            self.files = (a, b)
             self._write(np.zeros(self.count, np.uint8), np.zeros(self.count, np.uint8))
             at = np.arange(self.count)  # where each string's longest suffix so far stands
             for k in range(int(self.length.max(initial=0))):
@@ -222,49 +234,48 @@ class Collection:
             self.bwt, self.lcp = self._read()
 
     def _read(self) -> list[np.ndarray]:
-        return [np.fromfile(f, np.uint8) for f in self.files]
+        out = []
+        for f in self.files:
+            f.seek(0)
+            out.append(np.frombuffer(bytearray(f.read()), np.uint8))
+        return out
 
     def _write(self, *sequences: np.ndarray) -> None:
         for f, x in zip(self.files, sequences, strict=True):
-            x.tofile(f)
+            f.seek(0)
+            f.write(x.data)
+            f.flush()
 
     def _round(self, k: int, at: np.ndarray) -> np.ndarray:
         """Inserts the symbol that stands k from the right of every string that has one."""
         bwt, lcp = self._read()
         active = np.flatnonzero(self.length > k)
-        old = at[active]
-        bwt[old] = self.text[self.end[active] - 1 - k] + np.uint8(1)
+        old, symbol = at[active], self.text[self.end[active] - 1 - k] + np.uint8(1)
+        bwt[old] = symbol
+        # the i-th place in this order begins the i-th suffix; a symbol's places ascend between its edges
         order = np.argsort(bwt, kind="stable")
-        ended = int(np.count_nonzero(bwt == 0))
-        order = order[ended:]  # the i-th symbol in this order begins the suffix at count + i
-        mark = np.zeros(len(bwt), bool)
-        mark[old] = True
-        fresh = np.flatnonzero(mark[order])
-        symbol = bwt[order]
-        new = np.zeros(len(order), bool)
-        new[fresh] = True
+        edge = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
+        ended = int(edge[1])
+        by = np.lexsort((old, symbol))
+        old, symbol = old[by], symbol[by]
+        cut = np.searchsorted(symbol, np.arange(257))
+        rank = np.concatenate([edge[c] + np.searchsorted(order[edge[c] : edge[c + 1]], old[cut[c] : cut[c + 1]]) for c in np.flatnonzero(np.diff(cut))])
         # suffixes whose neighbour before them is another than before: the new ones, and those after a new one
-        touched = new.copy()
-        touched[1:] |= new[:-1]
-        touched = np.flatnonzero(touched)
-        alike = touched[(touched > 0)]
-        alike = alike[symbol[alike] == symbol[alike - 1]]
-        value = np.zeros(len(order), np.uint8)
-        value[alike] = np.minimum(range_least(lcp, order[alike - 1] + 1, order[alike] + 1).astype(np.int64) + 1, self.limit)
+        touched = np.sort(np.concatenate([rank, rank + 1]))
+        touched = touched[np.append(True, touched[1:] != touched[:-1]) & (touched < len(order))]
+        alike = touched[touched > edge[np.searchsorted(edge, touched, side="right") - 1]]
+        value = np.minimum(range_least(lcp, order[alike - 1] + 1, order[alike] + 1).astype(np.int64) + 1, self.limit)
         # all suffixes in their new order: those that were there keep their values unless touched
-        total = self.count + len(order)
-        there = np.ones(total, bool)
-        there[self.count + fresh] = False
-        bwt2, lcp2 = np.zeros(total, np.uint8), np.zeros(total, np.uint8)
-        bwt2[there], lcp2[there] = bwt, lcp
-        lcp2[self.count + touched] = value[touched]
+        move = self.count - ended
+        target = move + rank
+        places = target - np.arange(len(target))
+        cuts = list(itertools.pairwise([0, *places.tolist(), len(bwt)]))
+        bwt2, lcp2 = (np.frombuffer(bytearray(b"\0").join([data[a:b] for a, b in cuts]), np.uint8) for data in (bwt.data, lcp.data))
+        lcp2[move + touched] = 0
+        lcp2[move + alike] = value
         self._write(bwt2, lcp2)
-        # the new suffix of the string whose longest one stood at order[fresh]
-        place = np.empty(len(bwt), np.int64)
-        place[order[fresh]] = self.count + fresh
-        moved = np.flatnonzero(there)  # where those that were there stand now
-        out = moved[at]
-        out[active] = place[old]
+        out = at + np.searchsorted(places, at, side="right")
+        out[active[by]] = target
         return out
 
     def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,8 +369,8 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, hot_group: int = HOT_GROUP
     # anchors that stand in unequal runs
     keys = anchor_keys(docs).groupBy("key").agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a != b").select("key")
     shared = broadcast_bitmap(keys)
-    all_places = scratch.table(places(docs, shared, False).drop("bytes", "before", "after", "d2"), "places")
-    # the anchor's hash and the digest are 128 bits
+    all_places = scratch.table(places(docs, shared, False).drop("bytes", "beside"), "places")
+    # the anchor's hash and that of all bytes are 128 bits
     content = ["anchor", "d1"]
     firsts = scratch.table(all_places.groupBy(*content).agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
     copies = all_places.join(firsts.where("n > 1"), content).where(at > F.col("first"))
@@ -368,17 +379,17 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, hot_group: int = HOT_GROUP
     scratch.drop("places", "firsts")
     texts = places(docs, broadcast_bitmap(unequal.select("anchor")), True)
     # of equal segments the earliest stands for all; a hot segment is one row of each task before it moves
-    distinct = texts.groupBy(*content).agg(F.min(F.struct("doc_id", "tie", "start", "bytes", "before", "after")).alias("s")).select(*content, "s.*")
+    distinct = texts.groupBy(*content).agg(F.min(F.struct("doc_id", "tie", "start", "bytes", "beside")).alias("s")).select(*content, "s.*")
     distinct = scratch.table(distinct.join(unequal, "anchor"), "distinct")
-    # segments that agree with no other next to the anchor share no window
-    beside = lambda c: distinct.where(F.col(c).isNotNull()).groupBy("anchor", c).agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    one = distinct.join(beside("before"), ["anchor", "before"], "left_semi").select("anchor", "doc_id", "tie", "start", "bytes", "contents")
-    two = distinct.join(beside("after"), ["anchor", "after"], "left_semi").select("anchor", "doc_id", "tie", "start", "bytes", "contents")
-    distinct = scratch.table(one.union(two).distinct(), "meeting")
+    # segments that agree with no other around the anchor share no window
+    keys = distinct.select(*content, F.posexplode("beside").alias("k", "key")).where("key <> 0").withColumn("key", F.xxhash64("anchor", "k", "key"))
+    meeting = keys.groupBy("key").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a != b").select("key")
+    some = keys.join(meeting, "key", "left_semi").select(*content).distinct()
+    distinct = scratch.table(distinct.drop("beside", "contents").join(some, content, "left_semi"), "meeting")
     scratch.drop("distinct")
     whole = whole.unionByName(run_copies)
-    few, many = F.col("contents") <= hot_group, F.col("contents") > hot_group
-    return whole.unionByName(sorted_ranges(distinct.where(few))).unionByName(windowed_ranges(distinct.where(many)))
+    hot = scratch.table(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_group).select("anchor"), "hot")
+    return whole.unionByName(sorted_ranges(distinct.join(hot, "anchor", "left_anti"))).unionByName(windowed_ranges(distinct.join(hot, "anchor", "left_semi")))
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: int, stop: int>>, kept binary"
