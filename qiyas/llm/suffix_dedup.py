@@ -34,7 +34,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -49,7 +48,7 @@ from qiyas.llm.scratch import Scratch
 
 WINDOW, GRAM, RUN = 100, 32, 16
 #: Two segments of one anchor that share a window share the anchor with k * STEP bytes before it and BESIDE - k * STEP after it, for some k.
-STEP = 17
+STEP = 4
 BESIDE = WINDOW - GRAM - STEP
 #: Bytes of segments that one task sorts at once.
 SORTED_BYTES = 6 << 20
@@ -151,26 +150,37 @@ def anchor_places(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     return last + grams.argmin(axis=1)
 
 
-def beside_keys(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
-    """For each k, the hash of the bytes around a segment's anchor that a shared window holds at least; 0 where the segment ends before."""
-    if not len(first):
-        return pa.array([], pa.list_(pa.int64()))
-    place = anchor_places(raw, first, last)
-    sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
-    keys = np.zeros((len(first), BESIDE // STEP + 1), np.int64)
-    for k in range(keys.shape[1]):
-        low, high = place - k * STEP, place + GRAM + BESIDE - k * STEP
-        use = (low >= first) & (high <= last + WINDOW)
-        keys[use, k] = tb.span_hashes(sums, low[use], high[use], inverse).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-
+def shareable(flat: np.ndarray, first: np.ndarray, end: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments that lie in flat: those that may share a window with another, and which of their bytes its windows can hold.
 
-PLACES = "anchor long, d1 long, doc_id long, tie long, start int, windows int, bytes binary, beside array<long>"
+    place: where the anchors stand. A shared window holds, for some k, bytes around the anchor that both segments have.
+    """
+    sums, inverse = tb.prefix_sums(flat), tb.powers(len(flat) + 1, tb.INVERSE)
+    steps = BESIDE // STEP + 1
+    k, who = np.repeat(np.arange(steps), len(first)), np.tile(np.arange(len(first)), steps)
+    low = place[who] - k * STEP
+    use = (low >= first[who]) & (low + GRAM + BESIDE <= end[who])
+    k, who, low = k[use], who[use], low[use]
+    keys = tb.span_hashes(sums, low, low + GRAM + BESIDE, inverse)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    again = np.zeros(len(keys), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    met = np.zeros((steps, len(first)), bool)
+    met[k[again], who[again]] = True
+    there = np.flatnonzero(met.any(axis=0))
+    least, most = met[:, there].argmax(axis=0), steps - 1 - met[::-1, there].argmax(axis=0)
+    before = (most + 1) * STEP
+    start = np.maximum(place[there] - before, first[there])
+    return there, start, np.minimum(place[there] + WINDOW - least * STEP, end[there])
+
+
+PLACES = "anchor long, d1 long, doc_id long, tie long, start int, windows int, bytes binary, place int"
 
 
 def places(docs: DataFrame, shared, with_bytes: bool) -> DataFrame:
     """The segments whose anchor may be in a bitmap; d1: hash of their bytes; bytes only where asked for."""
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = Member(shared)
@@ -184,8 +194,8 @@ def places(docs: DataFrame, shared, with_bytes: bool) -> DataFrame:
             sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
             digest = tb.span_hashes(sums, first, last + WINDOW, inverse).view(np.int64)
             row = pa.array(of)
-            beside = beside_keys(raw, first, last) if with_bytes else pa.nulls(len(first), pa.list_(pa.int64()))
-            cols = [anchor, digest, batch.column(0).take(row), batch.column(1).take(row), (first - at[of]).astype(np.int32), (last - first + 1).astype(np.int32), parts, beside]
+            place = (anchor_places(raw, first, last) - first).astype(np.int32) if with_bytes else np.zeros(len(first), np.int32)
+            cols = [anchor, digest, batch.column(0).take(row), batch.column(1).take(row), (first - at[of]).astype(np.int32), (last - first + 1).astype(np.int32), parts, place]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in PLACES.split(", ")])
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, PLACES)
@@ -216,8 +226,8 @@ def range_least(x: np.ndarray, low: np.ndarray, high: np.ndarray, block: int = 2
 class Collection:
     """The Burrows-Wheeler transform of a collection of byte strings, and common prefixes of neighbours up to a limit.
 
-    Symbols are bytes plus one (UTF-8 never has 255); 0 ends a string. Both sequences lie in files that every round
-    reads from front to back and writes anew.
+    Symbols are bytes plus one (UTF-8 never has 255); 0 ends a string. Symbols and prefixes lie side by side in a file of
+    at most twice SORTED_BYTES and a group, which every round reads from front to back and writes anew.
     """
 
     def __init__(self, strings: list[bytes], limit: int = WINDOW):
@@ -225,38 +235,33 @@ class Collection:
         self.length = np.array([len(s) for s in strings], np.int64)
         self.text = np.frombuffer(b"".join(strings), np.uint8)
         self.end = np.cumsum(self.length)
-        with tempfile.TemporaryDirectory() as folder, open(os.path.join(folder, "bwt"), "w+b") as a, open(os.path.join(folder, "lcp"), "w+b") as b:
-            self.files = (a, b)
-            self._write(np.zeros(self.count, np.uint8), np.zeros(self.count, np.uint8))
+        with tempfile.TemporaryFile() as self.file:
+            self._write(bytes(2 * self.count))
             at = np.arange(self.count)  # where each string's longest suffix so far stands
             for k in range(int(self.length.max(initial=0))):
                 at = self._round(k, at)
-            self.bwt, self.lcp = self._read()
+            self.bwt, self.lcp = map(np.ascontiguousarray, self._read().T)
 
-    def _read(self) -> list[np.ndarray]:
-        out = []
-        for f in self.files:
-            f.seek(0)
-            out.append(np.frombuffer(bytearray(f.read()), np.uint8))
-        return out
+    def _read(self) -> np.ndarray:
+        self.file.seek(0)
+        return np.frombuffer(bytearray(self.file.read()), np.uint8).reshape(-1, 2)
 
-    def _write(self, *sequences: np.ndarray) -> None:
-        for f, x in zip(self.files, sequences, strict=True):
-            f.seek(0)
-            f.write(x.data)
-            f.flush()
+    def _write(self, data) -> None:
+        self.file.seek(0)
+        self.file.write(data)
 
     def _round(self, k: int, at: np.ndarray) -> np.ndarray:
         """Inserts the symbol that stands k from the right of every string that has one."""
-        bwt, lcp = self._read()
+        both = self._read()
         active = np.flatnonzero(self.length > k)
         old, symbol = at[active], self.text[self.end[active] - 1 - k] + np.uint8(1)
-        bwt[old] = symbol
+        both[old, 0] = symbol
+        bwt, lcp = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
         # the i-th place in this order begins the i-th suffix; a symbol's places ascend between its edges
         order = np.argsort(bwt, kind="stable")
         edge = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
         ended = int(edge[1])
-        by = np.lexsort((old, symbol))
+        by = np.argsort(symbol.astype(np.int64) << 40 | old)
         old, symbol = old[by], symbol[by]
         cut = np.searchsorted(symbol, np.arange(257))
         rank = np.concatenate([edge[c] + np.searchsorted(order[edge[c] : edge[c + 1]], old[cut[c] : cut[c + 1]]) for c in np.flatnonzero(np.diff(cut))])
@@ -269,11 +274,12 @@ class Collection:
         move = self.count - ended
         target = move + rank
         places = target - np.arange(len(target))
-        cuts = list(itertools.pairwise([0, *places.tolist(), len(bwt)]))
-        bwt2, lcp2 = (np.frombuffer(bytearray(b"\0").join([data[a:b] for a, b in cuts]), np.uint8) for data in (bwt.data, lcp.data))
-        lcp2[move + touched] = 0
-        lcp2[move + alike] = value
-        self._write(bwt2, lcp2)
+        data, cuts = both.data.cast("B"), [0, *(2 * places).tolist(), 2 * len(bwt)]
+        new = bytearray(b"\0\0").join([data[a:b] for a, b in itertools.pairwise(cuts)])
+        values = np.frombuffer(new, np.uint8).reshape(-1, 2)[:, 1]
+        values[move + touched] = 0
+        values[move + alike] = value
+        self._write(new)
         out = at + np.searchsorted(places, at, side="right")
         out[active[by]] = target
         return out
@@ -313,7 +319,14 @@ def sorted_ranges(distinct: DataFrame) -> DataFrame:
     """The ranges of windows of unequal segments of one anchor that occur earlier in another of them."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        who, offset, group = Collection([r["bytes"] for r in rows]).classes()
+        flat = np.frombuffer(b"".join([r["bytes"] for r in rows]), np.uint8)
+        end = np.cumsum([len(r["bytes"]) for r in rows])
+        first = np.append(0, end[:-1])
+        there, low, high = shareable(flat, first, end, first + np.array([r["place"] for r in rows]))
+        data = flat.tobytes()
+        who, offset, group = Collection([data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]).classes()
+        offset += (low - first[there])[who]
+        who = there[who]
         doc = np.array([r["doc_id"] if r["doc_id"] is not None else np.iinfo(np.int64).min for r in rows], np.int64)
         valid = np.array([r["doc_id"] is not None for r in rows], bool)
         tie, start = np.array([r["tie"] for r in rows], np.int64), np.array([r["start"] for r in rows], np.int64)
@@ -336,7 +349,7 @@ def sorted_ranges(distinct: DataFrame) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    dealt = distinct.select("anchor", "doc_id", "tie", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = distinct.select("anchor", "doc_id", "tie", "start", "bytes", "place").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, RANGES)
 
 
@@ -369,7 +382,7 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, hot_group: int = HOT_GROUP
     # anchors that stand in unequal runs
     keys = anchor_keys(docs).groupBy("key").agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a != b").select("key")
     shared = broadcast_bitmap(keys)
-    all_places = scratch.table(places(docs, shared, False).drop("bytes", "beside"), "places")
+    all_places = scratch.table(places(docs, shared, False).drop("bytes", "place"), "places")
     # the anchor's hash and that of all bytes are 128 bits
     content = ["anchor", "d1"]
     firsts = scratch.table(all_places.groupBy(*content).agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
@@ -379,14 +392,8 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, hot_group: int = HOT_GROUP
     scratch.drop("places", "firsts")
     texts = places(docs, broadcast_bitmap(unequal.select("anchor")), True)
     # of equal segments the earliest stands for all; a hot segment is one row of each task before it moves
-    distinct = texts.groupBy(*content).agg(F.min(F.struct("doc_id", "tie", "start", "bytes", "beside")).alias("s")).select(*content, "s.*")
-    distinct = scratch.table(distinct.join(unequal, "anchor"), "distinct")
-    # segments that agree with no other around the anchor share no window
-    keys = distinct.select(*content, F.posexplode("beside").alias("k", "key")).where("key <> 0").withColumn("key", F.xxhash64("anchor", "k", "key"))
-    meeting = keys.groupBy("key").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a != b").select("key")
-    some = keys.join(meeting, "key", "left_semi").select(*content).distinct()
-    distinct = scratch.table(distinct.drop("beside", "contents").join(some, content, "left_semi"), "meeting")
-    scratch.drop("distinct")
+    distinct = texts.groupBy(*content).agg(F.min(F.struct("doc_id", "tie", "start", "bytes", "place")).alias("s")).select(*content, "s.*")
+    distinct = scratch.table(distinct.join(unequal.select("anchor"), "anchor", "left_semi"), "distinct")
     whole = whole.unionByName(run_copies)
     hot = scratch.table(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_group).select("anchor"), "hot")
     return whole.unionByName(sorted_ranges(distinct.join(hot, "anchor", "left_anti"))).unionByName(windowed_ranges(distinct.join(hot, "anchor", "left_semi")))
