@@ -58,8 +58,9 @@ def count_features(column: pa.Array) -> np.ndarray:
         punct = (raw < 128) & ~((low >= 97) & (low <= 122)) & ~((raw >= 48) & (raw <= 57)) & (raw > 32)
         of = tb.row_of(at)
         where = np.flatnonzero(punct)
-        after = np.where(where + 1 < len(raw), raw[np.minimum(where + 1, len(raw) - 1)], 32).astype(np.int64)
-        kind = np.where(punct[np.minimum(where + 1, len(raw) - 1)], after, 0)
+        after = np.minimum(where + 1, len(raw) - 1)
+        inside = where + 1 < at[1:][of[where]]  # the byte behind a text's last is another text's
+        kind = np.where(inside & punct[after], raw[after].astype(np.int64), 0)
         add(of[where], (raw[where].astype(np.int64) * 131 + kind) % 384)
         first = raw[starts]
         upper = (first >= 65) & (first <= 90)
@@ -113,16 +114,20 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[list[tuple[str, int]], float]:
-    """(text, label) of at most ``size`` rows of each label of labels(doc_id, label), and the share of label 1 in all of them."""
-    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("_h"))
+    """(text, label) of at most ``size`` ids of each label of labels(doc_id, label), and the share of label 1 in all of them.
+
+    Equal rows of labels count once; of several texts of an id the least is taken, so at most 2 * size texts are collected.
+    """
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("_h")).distinct()
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     cut = F.lit(0.0)
     for k, v in counts.items():
         cut = F.when(F.col("label") == k, F.lit(1.3 * size / v)).otherwise(cut)
     # about 1.3 times the rows wanted pass this cut, so no task ranks all rows of a label
     rank = F.row_number().over(Window.partitionBy("label").orderBy("_h", "doc_id"))
-    chosen = known.where(F.col("_h") / 2.0**64 + 0.5 < cut).dropDuplicates(["doc_id", "label"]).withColumn("_r", rank).where(F.col("_r") <= size)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).select("_h", "doc_id", "label", "text").collect()  # 2 * size rows
+    chosen = known.where(F.col("_h") / 2.0**64 + 0.5 < cut).withColumn("_r", rank).where(F.col("_r") <= size)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
+    found = texts.groupBy("_h", "doc_id", "label").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: (r["_h"], r["doc_id"], r["label"], r["text"]))
     total = sum(counts.values())
     return [(r["text"], r["label"]) for r in found], (counts.get(1, 0) / total if total else 0.5)
@@ -163,7 +168,7 @@ def vote(model: Model | None, column: pa.Array) -> np.ndarray:
         near = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True))) * model.votes
         out[i : i + BLOCK] = near @ model.labels.astype(np.float32) / near.sum(axis=1)
     out[counts.sum(axis=1) == 0] = model.prior
-    return np.clip(out, 0, 1)
+    return np.round(np.clip(out, 0, 1), 6)  # so that the place in a block doesn't show
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

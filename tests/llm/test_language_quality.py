@@ -1,5 +1,7 @@
+import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -44,3 +46,27 @@ def test_quality_equals_blocked_brute_force_and_edges(spark):
     assert rows[1] == rows[2] == model.prior
     assert quality.learn(*quality.sample(docs, docs.select("doc_id", "label").limit(0))) is None
     assert [r.score for r in quality.score(docs, None).collect()] == [0.5] * 6
+
+
+def test_a_score_depends_on_its_text_alone(spark):
+    """Blocked scoring equals one text after another, whatever stands next to it."""
+    rng = random.Random(4)
+    words = ["plain", "Words", "(here)", "end.", '"Quoted', "$$$", "é", "!?"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(300)] + ["Hello there world.", '"Quoted', "Hello there world.", "plain"]
+    model = quality.learn([(t, k % 2) for k, t in enumerate(texts[:80])], 0.5)
+    x = quality.count_features(pa.array(texts))
+    for i in (0, 7, 299, 300, 302):
+        assert (quality.count_features(pa.array([texts[i]]))[0] == x[i]).all()
+    got = quality.vote(model, pa.array(texts))
+    y = quality.unit(quality.weighted(x, model.weight) @ model.axes)
+    for i in range(0, len(texts), 17):  # brute force: the votes of all neighbours
+        near = [np.exp(quality.SHARPNESS * float(y[i] @ v)) * w for v, w in zip(model.vectors, model.votes, strict=True)]
+        want = sum(n for n, label in zip(near, model.labels, strict=True) if label) / sum(near)
+        assert abs(got[i] - want) < 1e-3
+    assert got[300] == got[302]
+
+
+def test_repeated_labels_and_ids(spark):
+    docs = spark.createDataFrame([(k % 50, f"text {k % 50} of copies", 1) for k in range(3000)] + [(1000 + k, f"other {k}", 0) for k in range(40)], "doc_id long, text string, label int")
+    found, prior = quality.sample(docs, docs.select("doc_id", "label"), size=30)
+    assert sum(y for _, y in found) == 30 == sum(1 - y for _, y in found) and prior == 50 / 90
