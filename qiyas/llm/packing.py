@@ -31,8 +31,8 @@ from qiyas.llm.scratch import Scratch
 CAPACITY = 1024
 END_ID = 2
 DEPTH = 3
-#: Ways in which the pieces of one length are numbered side by side.
-SHARDS = 64
+#: Pieces of one length that one task numbers, about.
+SHARD_ROWS = 1 << 20
 #: Fits, each to what rounding has left of the one before.
 REFITS = 5
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -169,17 +169,23 @@ def runs(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
 def placed(cut_pieces: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``pieces``, which must be a written table.
 
-    Each piece gets a number within its length from its shard, so no length is numbered by one task.
+    A full piece is a sequence of its own and needs no number. Each other piece gets a number within its length from its
+    shard; shards follow the largest count of a length, so no length is numbered by one task.
     """
     spark = cut_pieces.sparkSession
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(SHARDS)).cast("int")
-    dealt = cut_pieces.withColumn("_shard", shard)
-    counts = dealt.groupBy("length", "_shard").agg(F.count("*").alias("_n")).collect()  # at most capacity * SHARDS rows
+    full = cut_pieces.where(F.col("length") == capacity)
+    rest = cut_pieces.where(F.col("length") < capacity)
+    sizes = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # a row a length
+    shards = max(1, -(-max(sizes.values(), default=0) // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(shards)).cast("int")
+    dealt = rest.withColumn("_shard", shard)
+    counts = dealt.groupBy("length", "_shard").agg(F.count("*").alias("_n")).collect()  # about a row for each SHARD_ROWS pieces, or a length
     histogram, before = np.zeros(capacity + 1, np.int64), []
     for r in sorted(counts, key=lambda r: (r["length"], r["_shard"])):
         before.append((r["length"], r["_shard"], int(histogram[r["length"]])))
         histogram[r["length"]] += r["_n"]
-    table = runs(plan(histogram, capacity, depth))
+    planned = plan(histogram, capacity, depth)
+    table = runs(planned)
     starts = spark.createDataFrame(before, "length long, _shard int, _before long")
     found = spark.createDataFrame(table, "length long, _from long, _to long, _sequence long, _k long, _offset long")
     row = F.row_number().over(Window.partitionBy("length", "_shard").orderBy("doc_id", "piece"))
@@ -188,20 +194,26 @@ def placed(cut_pieces: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH)
     # the runs of a length are few thousands at most: their number is bounded by the plan's, not by the corpus
     at = number.join(F.broadcast(of_length), "length").withColumn("_run", F.element_at(F.filter("_runs", lambda r: (r["_from"] <= F.col("_number")) & (F.col("_number") < r["_to"])), 1))
     inner = F.col("_number") - F.col("_run._from")
-    return at.select(
+    packed_rest = at.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("_run._sequence") + F.floor(inner / F.col("_run._k"))).cast("long").alias("sequence_id"),
         (F.col("_run._offset") + (inner % F.col("_run._k")) * F.col("length")).cast("long").alias("offset"),
     )
+    alone = (F.monotonically_increasing_id() + sum(n for _, n in planned)).alias("sequence_id")
+    return packed_rest.unionByName(full.select("doc_id", "piece", "start", "length", "ids_crc32", alone, F.lit(0).cast("long").alias("offset")))
 
 
 def byte_bpe() -> Callable[[str], bytes]:
-    """The encoder of the public 50k byte-level vocabulary, made on the executor."""
+    """The encoder of the public 50k byte-level vocabulary, made on the executor; special tokens as its file has them."""
+    import json
+
     import public_tokenizers
 
     from qiyas.llm.byte_bpe import Encoder
 
-    return Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        specials = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, specials)
 
 
 def packed(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]] = byte_bpe, capacity: int = CAPACITY, end_id: int = END_ID, depth: int = DEPTH) -> DataFrame:
