@@ -29,7 +29,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._path("").getFileSystem(self._conf()).deleteOnExit(self._path(""))
+        files = self._path("").getFileSystem(self._conf())
+        files.mkdirs(self._path(""))  # only a folder that exists is noted
+        files.deleteOnExit(self._path(""))
 
     def _conf(self):
         return self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -48,3 +50,11 @@ class Scratch:
         for name in names:
             path = self._path(name)
             path.getFileSystem(self._conf()).delete(path, True)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """A name that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
