@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from qiyas.llm import textbuf as tb
 from qiyas.llm.bitmaps import Member, broadcast_bitmap
-from qiyas.llm.scratch import Scratch
+from qiyas.llm.scratch import Scratch, free_name
 
 #: Code points that a form needs to be matched with one edit; shorter ones must be equal.
 LEAST_NEAR = 20
@@ -243,13 +243,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with the kept lines of each text, and n_lines and n_removed after the other columns."""
-    gone = removed_lines(docs).withColumnsRenamed({"doc_id": "_doc_id", "tie": "_tie", "lines": "_lines"})
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_tie"))
-    joined = docs.join(gone, same, "left").select(*[docs[c] for c in docs.columns], "_lines")
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed long"
+def deduplicated(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the kept lines of each text, and the numbers of lines and of removed ones, named by ``counts``, after the other columns.
+
+    A column of docs that has one of these names is left out.
+    """
+    names = [c for c in docs.columns if c.lower() not in {x.lower() for x in counts}]
+    docs = docs.select(*[docs[c] for c in names])
+    doc_id, tie, lines = (free_name(x, names) for x in ("_doc_id", "_tie", "_lines"))
+    gone = removed_lines(docs).withColumnsRenamed({"doc_id": doc_id, "tie": tie, "lines": lines})
+    same = docs["doc_id"].eqNullSafe(gone[doc_id]) & (F.xxhash64(docs["text"]) == gone[tie])
+    joined = docs.join(gone, same, "left").select(*[docs[c] for c in names], lines)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{counts[0]}` long, `{counts[1]}` long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,6 +266,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 lines.append(len(parts))
                 removed.append(len(gone))
             cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, *counts])
 
     return joined.mapInArrow(run, schema)
