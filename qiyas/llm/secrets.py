@@ -8,7 +8,7 @@ Base candidates (assign, access, hex) are always reported; a token is reported o
 if it is live.
 
 Defined results: null text is empty and has no spans; a null owner is an owner of its
-own; repeated rows are scanned each, and each counts as a repository; equal starts are
+own; repeated rows are scanned each, those of equal doc_id and text are one repository; equal starts are
 in the order of KINDS; extra columns are not read; an empty table gives an empty result.
 Positions are code points, ends exclusive.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qiyas.llm.scratch import Scratch
+from qiyas.llm.scratch import Scratch, free_name
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,7 +26,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 LEAST_VALUE = 8
-#: Held by so many owners or more, a candidate is an example.
+#: Held by so many owners in so many repositories or more, a candidate is an example.
 WIDE_OWNERS = 3
 #: A live value has so many distinct characters at least.
 VARIED = 8
@@ -71,17 +71,21 @@ def scanned(docs: DataFrame, owner: str) -> DataFrame:
 
 def ownership(found: DataFrame) -> DataFrame:
     """hash, repositories and owners of every candidate of the corpus."""
-    values = found.select("owner", F.explode(F.array_distinct("spans.hash")).alias("hash"))  # a text counts once for a value
-    by_owner = values.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
+    values = found.select("owner", "doc_id", "text_key", F.explode(F.array_distinct("spans.hash")).alias("hash"))
+    # a repository is a document: rows of equal id and text are one, under however many owners
+    by_repository = values.groupBy("hash", "doc_id", "text_key", "owner").agg(F.lit(1).alias("n"))
+    by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    owners = by_owner.groupBy("hash").agg(F.count("*").alias("owners"))
+    repositories = by_repository.select("hash", "doc_id", "text_key").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
+    return owners.join(repositories, "hash")
 
 
 def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """doc_id, text_key and spans (start, kind, end, hash, repositories, owners, live) of each document; each row is a repository."""
+    """doc_id, text_key and spans (start, kind, end, hash, repositories, owners, live) of each document; a document is a repository."""
     found = Scratch(docs.sparkSession, "secrets").table(scanned(docs, owner), "found")
     some = F.size("spans") > 0
     each = found.where(some).select("row", F.explode("spans").alias("s")).select("row", "s.*").join(ownership(found), "hash")
-    live = F.col("random") & (F.col("owners") < WIDE_OWNERS)
+    live = F.col("random") & (F.least("owners", "repositories") < WIDE_OWNERS)
     span = F.struct("start", "kind", "end", "hash", "repositories", "owners", live.alias("live"))
     judged = each.groupBy("row").agg(F.collect_list(span).alias("all"))
     kept = F.filter(F.array_sort("all"), lambda s: (s["kind"] < 3) | s["live"])
@@ -102,14 +106,15 @@ def report(docs: DataFrame, owner: str = "source") -> DataFrame:
     return scan(docs, owner).select(
         "doc_id", *[of_kind(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(listed(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
-        count(lambda s: s["live"]).alias("n_live"), count(lambda s: s["owners"] >= WIDE_OWNERS).alias("n_examples"),
+        count(lambda s: s["live"]).alias("n_live"), count(lambda s: F.least(s["owners"], s["repositories"]) >= WIDE_OWNERS).alias("n_examples"),
     )
 
 
 def redacted(docs: DataFrame, owner: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """docs with the live spans of their texts replaced by a mark; no row goes."""
-    live = scan(docs, owner).select("doc_id", "text_key", F.filter("spans", lambda s: s["live"]).alias("_spans")).where(F.size("_spans") > 0)
-    by_text = live.dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
+    doc_id, key, spans = (free_name(x, docs.columns) for x in ("_doc_id", "_text_key", "_spans"))
+    live = scan(docs, owner).select("doc_id", "text_key", F.filter("spans", lambda s: s["live"]).alias(spans)).where(F.size(spans) > 0)
+    by_text = live.dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": doc_id, "text_key": key})
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -118,6 +123,6 @@ def redacted(docs: DataFrame, owner: str = "source", mark: str = "[SECRET]") ->
         new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(new).alias("out"))
 
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_text_key"))
-    return docs.join(by_text, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(key))
+    return docs.join(by_text, same, "left").withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(clean)).select(*docs.columns)
