@@ -13,8 +13,8 @@ stage's docs. All but the last return the columns of documents.
 4. secret scans: live secrets are replaced by a mark; no document goes.
 5. best-fit packing: one row for each piece of a document, with its sequence and offset.
 
-Rows of equal doc_id share their fate in stage 1, those of equal doc_id and text in stage 3; of
-rows without an id that are equal in text, stage 3 keeps one. Null texts stay null up to the
+Each row is judged by its own text in stage 1. Rows of equal doc_id and text share their fate in stage 3; of
+rows without an id that are equal in text, it keeps one. Null texts stay null up to the
 last stage, where they are empty. Empty tables give empty results.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from qiyas.llm import jaccard_join, line_dedup, packing, quality, secrets
 from qiyas.llm.queries import BATCH_ROWS
-from qiyas.llm.scratch import Scratch
+from qiyas.llm.scratch import Scratch, free_name
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    after = line_dedup.deduplicated(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
+    counts = free_name("n_lines", docs.columns), free_name("n_removed", docs.columns)
+    after = line_dedup.deduplicated(docs, counts)
+    emptied = (F.col(counts[1]) > 0) & ~F.col("text").rlike(r"\S")
     return after.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
