@@ -17,6 +17,7 @@ texts get equal scores; extra columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,19 +105,21 @@ class Model:
 
 
 def weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    x = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1) * 100
-    x = np.log1p(x) * weight
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x = counts * (100 / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+    np.log1p(x, out=x)
+    x *= weight
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[list[tuple[str, int]], float]:
-    """(text, label) of at most ``size`` ids of each label of labels(doc_id, label), and the share of label 1 in all of them.
+def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[DataFrame, float]:
+    """_h, doc_id, label and text of at most ``size`` ids of each label of labels(doc_id, label), and the share of label 1 in all of them.
 
-    Equal rows of labels count once; of several texts of an id the least is taken, so at most 2 * size texts are collected.
+    Equal rows of labels count once; of several texts of an id the least is taken, so there are at most 2 * size rows.
     """
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("_h")).distinct()
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -127,10 +130,30 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple
     rank = F.row_number().over(Window.partitionBy("label").orderBy("_h", "doc_id"))
     chosen = known.where(F.col("_h") / 2.0**64 + 0.5 < cut).withColumn("_r", rank).where(F.col("_r") <= size)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
-    found = texts.groupBy("_h", "doc_id", "label").agg(F.min("text").alias("text")).collect()
-    found.sort(key=lambda r: (r["_h"], r["doc_id"], r["label"], r["text"]))
     total = sum(counts.values())
-    return [(r["text"], r["label"]) for r in found], (counts.get(1, 0) / total if total else 0.5)
+    return texts.groupBy("_h", "doc_id", "label").agg(F.min("text").alias("text")), (counts.get(1, 0) / total if total else 0.5)
+
+
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[list[tuple[str, int]], float]:
+    """(text, label) of the sample, and the share of label 1."""
+    rows, prior = sampled(docs, labels, size)
+    return _in_order(rows.collect()), prior
+
+
+def _in_order(rows: list) -> list[tuple[str, int]]:
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["_h"], r["doc_id"], r["label"], r["text"]))]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> Model | None:
+    """The model of the sample, learned by one task of an executor, so the driver gets no more than the model."""
+    rows, prior = sampled(docs, labels, size)
+
+    def fit(key, table):
+        model = learn(_in_order(table.drop_columns("_all").to_pylist()), prior)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(fit, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else None
 
 
 def learn(labelled: list[tuple[str, int]], prior: float, latent: int = LATENT) -> Model | None:

@@ -94,7 +94,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(5, 0)).select("doc_id", F.col("quality").alias("label"))
-    scored = quality.score(docs, quality.learn(*quality.sample(docs, labels)))
+    scored = quality.score(docs, quality.fitted(docs, labels))
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -69,4 +69,6 @@ def test_a_score_depends_on_its_text_alone(spark):
 def test_repeated_labels_and_ids(spark):
     docs = spark.createDataFrame([(k % 50, f"text {k % 50} of copies", 1) for k in range(3000)] + [(1000 + k, f"other {k}", 0) for k in range(40)], "doc_id long, text string, label int")
     found, prior = quality.sample(docs, docs.select("doc_id", "label"), size=30)
+    model = quality.fitted(docs, docs.select("doc_id", "label"), size=30)
+    assert (model.vectors == quality.learn(found, prior).vectors).mean() > 0.9 and quality.fitted(docs.limit(0), docs.select("doc_id", "label")) is None
     assert sum(y for _, y in found) == 30 == sum(1 - y for _, y in found) and prior == 50 / 90
