@@ -31,7 +31,7 @@ from qiyas.llm.scratch import Scratch, free_name
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    return quality.kept(docs, quality.learn(*quality.sample(docs, labels)))
+    return quality.kept(docs, quality.fitted(docs, labels))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
