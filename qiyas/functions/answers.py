@@ -14,7 +14,7 @@ LETTER_END = "A-Za-zƏəĞğİıÖöŞşÇçÜü"
 QUOTES = "\"“”«»'"
 ANSWER_LETTERS = "0-9a-zəğışçöüA-ZƏĞIŞÇÖÜİ"
 MAX_WORDS, LEAST_QUESTION = 12, 12
-REASONING_TAGS = r"(?i)</?(thinking|think|scratchpad|reasoning|reflection)\b"
+REASONING_TAGS = r"(?i)</?(?:thinking|think|scratchpad|antml:thinking)\b"
 # end of fixed values
 SPACE = r"(?U)^\s+|\s+$"
 

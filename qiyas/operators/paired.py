@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from qiyas.functions import text
 from qiyas.operators.scoring import score_table
-from qiyas.operators.statistics import bootstrap_hash, holm, paired_summary
+from qiyas.operators.statistics import bootstrap_hash, compared, holm, paired_summary, with_interval
 
 
 def language_gap(scores: DataFrame, a: str = "en", b: str = "az") -> DataFrame:
@@ -54,15 +54,64 @@ def excess_damage(scores: DataFrame, pairs: DataFrame, interval: str = "bootstra
     else:
         bounds = bootstrap_hash(four.withColumn("_x", az - en), ["label", "prompt_style"], "item_id", "_x")
         out = out.join(bounds.select("label", "prompt_style", "low", "high"), ["label", "prompt_style"])
-    damaged = (F.col("low") > 0) & (F.col("az_loss") > 0)
-    verdict = F.when(damaged, "damaged").when(F.col("low") > 0, "gained less").when(F.col("high") < 0, "spared").otherwise("no difference")
+    fell = F.col("az_loss") > 0  # a verdict on az needs az's own direction
+    verdict = (
+        F.when((F.col("low") > 0) & fell, "damaged").when(F.col("low") > 0, "gained less")
+        .when((F.col("high") < 0) & fell, "lost less").when(F.col("high") < 0, "spared").otherwise("no difference")
+    )
     return out.withColumn("verdict", verdict).drop("_sd")
 
 
-def prompt_verdict(gap: DataFrame) -> DataFrame:
-    """A gap holds if it is positive and significant in every usable style, two styles at least; gap(model, prompt_style, diff, p_holm)."""
-    holds = (F.col("diff") > 0) & (F.col("p_holm") < 0.05)
-    return gap.groupBy("model").agg(F.count("*").alias("styles"), F.bool_and(holds).alias("_all")).select("model", "styles", F.when(F.col("styles") < 2, F.lit(False)).otherwise(F.col("_all")).alias("holds"))
+def gap_intervals(scores: DataFrame, a: str = "en", b: str = "az", resamples: int = 1000) -> DataFrame:
+    """The strict gap of each model and style with its bootstrap interval."""
+    key = ["model", "prompt_style", "item_id"]
+    left, right = (scores.where(F.col("language") == x).select(*key, F.col("em_strict").alias(n)) for x, n in ((a, "em_a"), (b, "em_b")))
+    return compared(left.join(right, key), key[:-1], "item_id", "em_a", "em_b", resamples)
+
+
+def pair_intervals(scores: DataFrame, language: str, resamples: int = 1000) -> DataFrame:
+    """The strict difference of all pairs of models of a language and style with its bootstrap interval."""
+    s = scores.where(F.col("language") == language)
+    a, b = (s.select("prompt_style", "item_id", F.col("model").alias(f"model_{x}"), F.col("em_strict").alias(f"em_{x}")) for x in "ab")
+    both = a.join(b, ["prompt_style", "item_id"]).where("model_a < model_b")
+    return compared(both, ["model_a", "model_b", "prompt_style"], "item_id", "em_a", "em_b", resamples)
+
+
+def usable_styles(rates: DataFrame, most_empty: float = 0.20) -> DataFrame:
+    """model and prompt_style of the styles in which both az and en have a run and neither is mostly empty. rates: output of ``gates.rates``."""
+    ok = rates.groupBy("model", "prompt_style").agg(F.count_distinct("language").alias("_k"), F.max("empty_rate").alias("_e"))
+    return ok.where((F.col("_k") == 2) & (F.col("_e") <= most_empty)).select("model", "prompt_style")
+
+
+def prompt_verdict(gap: DataFrame, usable: DataFrame) -> DataFrame:
+    """A gap holds if its interval lies above 0 in every usable style, two styles at least; gap(model, prompt_style, low)."""
+    of = gap.join(usable, ["model", "prompt_style"], "left_semi").groupBy("model").agg(F.count("*").alias("styles"), F.bool_and(F.col("low") > 0).alias("_all"))
+    return of.select("model", "styles", F.when(F.col("styles") < 2, F.lit(False)).otherwise(F.col("_all")).alias("holds"))
+
+
+def pair_gates(gated: DataFrame, pairs: DataFrame) -> DataFrame:
+    """label and failures (model, language, style and gate) of the declared pairs of which any half fails a gate in either language. gated: output of ``gates.gated``."""
+    halves = pairs.select("label", F.explode(F.array("base", "tuned")).alias("model"))
+    failed = gated.where("failed_gate is not null").join(F.broadcast(halves), "model")
+    one = F.concat_ws(" ", "model", "language", "prompt_style", "failed_gate")
+    return failed.groupBy("label", "prompt_style").agg(F.array_join(F.array_sort(F.collect_set(one)), ", ").alias("failures"))
+
+
+def confirmatory(scores: DataFrame, pairs: DataFrame, resamples: int = 1000) -> DataFrame:
+    """Base against tuned of the declared pairs alone, in each language and mode: one Holm family, whatever else was run.
+
+    Items that any of a pair's four runs of a style lacks don't count.
+    """
+    roles = pairs.select("label", F.explode(F.array(F.struct(F.lit("a").alias("role"), F.col("base").alias("model")), F.struct(F.lit("b").alias("role"), F.col("tuned").alias("model")))).alias("x")).select("label", "x.*")
+    s = score_table(scores).join(F.broadcast(roles), "model")
+    cell = lambda role, lang: F.max(F.when((F.col("role") == role) & (F.col("language") == lang), F.col("em")))
+    four = s.groupBy("label", "prompt_style", "mode", "mode_order", "item_id").agg(*[cell(r, g).alias(f"{r}_{g}") for r in "ab" for g in ("az", "en")]).dropna()
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("language"), F.col(f"a_{g}").alias("em_a"), F.col(f"b_{g}").alias("em_b")) for g in ("az", "en")]))
+    rows = four.select("label", "prompt_style", "mode", "mode_order", "item_id", each.alias("x")).select("label", "prompt_style", "mode", "mode_order", "item_id", "x.*")
+    out = paired_summary(rows, ["label", "prompt_style", "mode", "mode_order", "language"], "em_a", "em_b")
+    out = holm(out.withColumn("_f", F.lit(1)), ["_f"], "p", ["label", "prompt_style", "language", "mode_order"]).drop("_f")
+    with_ci = with_interval(out, rows, ["label", "prompt_style", "mode", "mode_order", "language"], "item_id", "em_a", "em_b", resamples)
+    return with_ci.withColumn("significant", F.col("p_holm") < 0.05).drop("mode_order")
 
 
 def gap_closed(gap: DataFrame) -> DataFrame:

@@ -20,7 +20,10 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: in
     quotas = sizes.join(F.broadcast(total)).select(F.col(stratum).alias("_s"), "_n", quota.alias("_quota"))
     u = hash_uniform(F.lit(seed), key)
     near = df.join(F.broadcast(quotas), F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("_u", u)
-    near = near.where(F.col("_u") / 2.0**32 <= (F.col("_quota") + 10 * F.sqrt("_quota") + 30) / F.col("_n"))
+    # the cut goes by distinct keys, as copies of a key have one hash
+    keys = df.groupBy(F.col(stratum).alias("_s2")).agg(F.count_distinct(key).alias("_k"))
+    near = near.join(F.broadcast(keys), F.col("_s").eqNullSafe(F.col("_s2")))
+    near = near.where(F.col("_u") / 2.0**32 <= (F.col("_quota") + 10 * F.sqrt("_quota") + 30) / F.greatest("_k", F.lit(1)))
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("_u", key))).where("_r <= _quota")
     return ranked.orderBy("_u", key).limit(size).select(*df.columns)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qiyas.functions import answers, text
 from qiyas.functions.text import MODES, STRICT, Mode
+from qiyas.operators.statistics import bootstrap_hash, compared
 
 RUN = ["model", "language", "prompt_style"]
 COVERAGE = 0.90
@@ -56,20 +57,57 @@ def score_table(scores: DataFrame) -> DataFrame:
 
 
 def classify_error(prediction: Column, golds: Column) -> Column:
-    """The first rule that accounts for an answer: blank, then the mode that accepts it, script, overlap; else empty."""
+    """The first rule that accounts for an answer: blank, then the mode that accepts it, script, overlap; else empty.
+
+    The labels are those of hand-labelled sheets, so both can be joined.
+    """
     hit = lambda m: best_em(prediction, golds, m) == 1
     return (
-        F.when(answers.strip(prediction) == "", "blank")
+        F.when(answers.strip(prediction) == "", "boş cavab")
         .when(hit(text.STRICT), "")
-        .when(hit(text.MORPH), "morphology")
-        .when(hit(text.LENIENT), "diacritics")
-        .when(hit(text.TRANSLIT), "script")
-        .when(text.has_cyrillic(prediction), "cyrillic, not recovered")
-        .when(best_f1(prediction, golds, STRICT) > 0, "partial overlap")
+        .when(hit(text.MORPH), "morfologiya")
+        .when(hit(text.LENIENT), "diakritika")
+        .when(hit(text.TRANSLIT), "yazı sistemi")
+        .when(text.has_cyrillic(prediction), "kiril, zəncir bərpa etmir")
+        .when(best_f1(prediction, golds, STRICT) > 0, "qismən üst-üstə düşmə")
         .otherwise("")
     )
 
 
+def main_table(scores: DataFrame, resamples: int = 1000) -> DataFrame:
+    """Each run's number of items, strict EM and F1 with bootstrap intervals, and the share of the most frequent gold."""
+    out = majority_baseline(scores, RUN).withColumnsRenamed({"majority": "baseline"})
+    for name in ("em", "f1"):
+        drawn = bootstrap_hash(scores, RUN, "item_id", f"{name}_strict", resamples)
+        out = out.join(drawn.select(*RUN, F.col("mean").alias(name), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high")), RUN)
+    return out
+
+
+def error_summary(errors: DataFrame, group: list[str]) -> DataFrame:
+    """n and share of each error label within a group."""
+    counts = errors.groupBy(*group, "error").agg(F.count("*").alias("n"))
+    total = counts.groupBy(*group).agg(F.sum("n").alias("_t"))
+    return counts.join(total, group).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
+
+
+def format_contrast(choices: DataFrame, written: DataFrame, resamples: int = 1000) -> DataFrame:
+    """Choosing against writing: for each model and mode n, both means, their difference with its interval, and p.
+
+    choices(model, item_id, chosen: 1 if the letter is the key), written(model, item_id, em_<mode>). Items that either lacks don't count.
+    """
+    both = choices.join(written, ["model", "item_id"])
+    each = F.explode(F.array(*[F.struct(F.lit(m.name).alias("mode"), F.col(f"em_{m.name}").alias("wrote")) for m in MODES]))
+    return compared(both.select("model", "item_id", "chosen", each.alias("x")).select("model", "item_id", "chosen", "x.*"), ["model", "mode"], "item_id", "chosen", "wrote", resamples)
+
+
+def retention(choices: DataFrame, written: DataFrame, resamples: int = 1000) -> DataFrame:
+    """Of the items whose key a model chose, the share that it also writes, strictly and after the last mode, with its interval."""
+    right = choices.where("chosen = 1").join(written, ["model", "item_id"])
+    each = F.explode(F.array(*[F.struct(F.lit(m.name).alias("mode"), F.col(f"em_{m.name}").alias("wrote")) for m in (STRICT, MODES[-1])]))
+    rows = right.select("model", "item_id", each.alias("x")).select("model", "item_id", "x.*")
+    return bootstrap_hash(rows, ["model", "mode"], "item_id", "wrote", resamples).withColumnRenamed("mean", "kept")
+
+
 def modes_table(scores: DataFrame) -> DataFrame:
     """EM of each run in the four modes and what each step adds."""
     em = {m.name: F.avg(f"em_{m.name}") for m in MODES}

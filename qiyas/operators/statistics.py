@@ -79,6 +79,17 @@ def bootstrap_hash(df: DataFrame, group: list[str], key: str, value: str, resamp
     return means.groupBy(*group, "n", "mean").agg(q(tail).alias("low"), q(1 - tail).alias("high"))
 
 
+def with_interval(out: DataFrame, pairs: DataFrame, group: list[str], key: str, a: str, b: str, resamples: int = RESAMPLES) -> DataFrame:
+    """Adds low and high of the difference a - b: a percentile bootstrap in which both scores of an item are drawn together."""
+    drawn = bootstrap_hash(pairs.withColumn("_d", F.col(a) - F.col(b)), group, key, "_d", resamples)
+    return out.join(drawn.select(*group, "low", "high"), group)
+
+
+def compared(pairs: DataFrame, group: list[str], key: str, a: str, b: str, resamples: int = RESAMPLES) -> DataFrame:
+    """n, means, difference with its interval, and the exact sign-flip p of 0/1 scores."""
+    return with_interval(paired_summary(pairs, group, a, b), pairs, group, key, a, b, resamples)
+
+
 def bootstrap_numpy(df: DataFrame, group: list[str], key: str, value: str, resamples: int = RESAMPLES, confidence: float = CONFIDENCE, seed: int = 0) -> DataFrame:
     """The same with NumPy's generator, for numbers that other tools made from a seed; a group is drawn in chunks of resamples."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*group).schema.fields) + ", n long, mean double, low double, high double"
@@ -192,7 +203,7 @@ def interpret_kappa(k: Column) -> Column:
     # end of fixed values
     out = F.when(F.isnan(k), "undefined").when(k < 0, "poor")
     for top, name in bands:
-        out = out.when(k <= top, name)
+        out = out.when(k < top, name)
     return out.otherwise("almost perfect")
 
 

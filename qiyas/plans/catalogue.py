@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qiyas.functions import answers, morphology, text
+from qiyas.functions import answers, morphology, prompts, text
 from qiyas.functions.text import MODES, STRICT
 from qiyas.operators import curation, gates, paired, sampling, scoring, statistics
 from qiyas.operators.scoring import RUN
@@ -142,14 +142,20 @@ def missing_answers(spark, sf_dir):
     return wanted.join(runs.select(*RUN, "item_id"), [*RUN, "item_id"], "left_anti")
 
 
+def _gate_scores(spark, sf_dir) -> DataFrame:
+    """The scores, with one run of which every second response copies the prompt's example and goes on."""
+    copies = (F.col("model") == "m1") & (F.col("prompt_style") == "plain") & (F.col("item_id") % 2 == 0)
+    return _scores(spark, sf_dir).withColumn("raw_response", F.when(copies, F.concat(F.trim("prefix"), F.lit("\nx"))).otherwise(F.col("raw_response")))
+
+
 @query
 def gate_rates(spark, sf_dir):
-    return rounded(gates.gated(gates.rates(_scores(spark, sf_dir))), "empty_rate", "example_echo_rate", "question_echo_rate", "recoverable_rate")
+    return rounded(gates.gated(gates.rates(_gate_scores(spark, sf_dir))), "empty_rate", "example_echo_rate", "question_echo_rate", "recoverable_rate")
 
 
 @query
 def gate_funnel(spark, sf_dir):
-    return gates.funnel(gates.rates(_scores(spark, sf_dir)), scoring.coverage(synthetic.runs(spark, sf_dir), synthetic.items(spark, sf_dir)))
+    return gates.funnel(gates.rates(_gate_scores(spark, sf_dir)), scoring.coverage(synthetic.runs(spark, sf_dir), synthetic.items(spark, sf_dir)))
 
 
 PAIRED = ("mean_a", "mean_b", "diff", "p", "p_holm")
@@ -173,7 +179,8 @@ def control_gap(spark, sf_dir):
 
 @query
 def prompt_verdict(spark, sf_dir):
-    return paired.prompt_verdict(paired.language_gap(_scores(spark, sf_dir)).where("mode = 'strict'"))
+    s = _scores(spark, sf_dir)
+    return paired.prompt_verdict(paired.gap_intervals(s), paired.usable_styles(gates.rates(_gate_scores(spark, sf_dir))))
 
 
 @query
@@ -418,4 +425,97 @@ def validate_items_whole(spark, sf_dir):
     return curation.validate_items(_draft_rows(spark, sf_dir, F.filter(w, lambda _, i: (F.col("doc_id") % 10 == 0) | (i != 8))))
 
 
+def _pairs(spark) -> DataFrame:
+    return spark.createDataFrame(list(synthetic.PAIRS), "label string, base string, tuned string")
+
+
+@query
+def main_table(spark, sf_dir):
+    return rounded(scoring.main_table(_scores(spark, sf_dir)), "em", "em_low", "em_high", "f1", "f1_low", "f1_high", "baseline")
+
+
+@query
+def rq1_intervals(spark, sf_dir):
+    return rounded(paired.gap_intervals(_scores(spark, sf_dir)), "mean_a", "mean_b", "diff", "p", "low", "high")
+
+
+@query
+def rq2_intervals(spark, sf_dir):
+    return rounded(paired.pair_intervals(_scores(spark, sf_dir), "az"), "mean_a", "mean_b", "diff", "p", "low", "high")
+
+
+@query
+def confirmatory_table(spark, sf_dir):
+    return rounded(paired.confirmatory(_scores(spark, sf_dir), _pairs(spark)), "mean_a", "mean_b", "diff", "p", "p_holm", "low", "high")
+
+
+@query
+def pair_gates(spark, sf_dir):
+    return paired.pair_gates(gates.gated(gates.rates(_gate_scores(spark, sf_dir))), _pairs(spark))
+
+
+@query
+def error_shares(spark, sf_dir):
+    rows = synthetic.runs(spark, sf_dir).select(*RUN, scoring.classify_error(answers.extract_answer(F.col("raw_response")), F.col("golds")).alias("error"))
+    return rounded(scoring.error_summary(rows, RUN), "share")
+
+
+def _choices(spark, sf_dir) -> DataFrame:
+    """model, item_id and chosen: letters drawn for every model's items, right in half of the cases."""
+    items = synthetic.items(spark, sf_dir).select("item_id", F.explode(F.array(*map(F.lit, synthetic.MODELS))).alias("model"))
+    u = statistics.hash_uniform("item_id", "model", F.lit("letter"))
+    raw = F.concat(F.when(u % 3 == 0, "Cavab: ").otherwise(""), F.substring(F.lit("ABCD"), (F.col("item_id") % 4 + F.when(u % 2 == 0, 0).otherwise(1) + 1).cast("int"), F.lit(1)), F.lit(") x"))
+    return items.select("model", "item_id", (answers.letter_of(raw) == F.substring(F.lit("ABCD"), (F.col("item_id") % 4 + 1).cast("int"), F.lit(1))).cast("double").alias("chosen"))
+
+
+def _written(spark, sf_dir) -> DataFrame:
+    return _scores(spark, sf_dir).where("language = 'az' and prompt_style = 'default'").select("model", "item_id", *[f"em_{m.name}" for m in MODES])
+
+
+@query
+def format_contrast(spark, sf_dir):
+    return rounded(scoring.format_contrast(_choices(spark, sf_dir), _written(spark, sf_dir)), "mean_a", "mean_b", "diff", "p", "low", "high")
+
+
+@query
+def retention(spark, sf_dir):
+    return rounded(scoring.retention(_choices(spark, sf_dir), _written(spark, sf_dir)), "kept", "low", "high")
+
+
+@query
+def mcq_letter(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", answers.letter_of(F.col("text")).alias("letter"), F.md5("text").alias("text_md5"))
+
+
+@query
+def gold_answers(spark, sf_dir):
+    golds = lambda g: F.array_join(scoring.gold_answers(F.lit(g), F.col("answer"), F.col("answer_aliases"), F.col("question_en")), "|").alias(f"golds_{g}")
+    return synthetic.items(spark, sf_dir).select("item_id", golds("az"), golds("en"))
+
+
+@query
+def answer_present(spark, sf_dir):
+    return synthetic.runs(spark, sf_dir).select(*RUN, "item_id", answers.answer_present(F.col("raw_response"), F.col("gold")).alias("present"))
+
+
+@query
+def agreement_by_stratum(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    k = statistics.cohen_kappa(rows, ["source"], "quality", "toxic")
+    return rounded(k.withColumn("reading", statistics.interpret_kappa(F.col("kappa"))), "agreement", "kappa")
+
+
+@query
+def kappa_bands(spark, sf_dir):
+    """Every hundredth from -0.1 to 1, the bounds of the bands among them."""
+    return spark.range(-10, 101).select((F.col("id") / 100).alias("kappa")).withColumn("reading", statistics.interpret_kappa(F.col("kappa")))
+
+
+@query
+def prompt_texts(spark, sf_dir):
+    template = F.lit("Sual: Misir. Cavab: Qahir\nSual: {question}\n{options}\nCavab:")
+    choices = F.array("answer", "answer_en", F.lit("x"), F.lit("y"))
+    return synthetic.items(spark, sf_dir).select("item_id", F.md5(prompts.build_choice_prompt(template, F.col("question_az"), choices)).alias("prompt_md5"), prompts.prompt_prefix(template).alias("prefix"))
+
+
 ORACLES = {k: v for k, v in oracle.ORACLES.items() if k in QUERIES}

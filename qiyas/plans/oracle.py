@@ -126,13 +126,15 @@ def model_pairs(where: str) -> str:
 select {rounded('model_a, model_b, prompt_style, mode, n, discordant, net', 'mean_a', 'mean_b', 'diff', 'p', 'p_holm')} from corrected"""
 
 
+LINES = "list_filter(string_split_regex(raw_response, '[\\r\\n]'), lambda l: trim(l) <> '')"
 RATES = f"""{RUNS},
+broken as (select * replace (case when model = 'm1' and prompt_style = 'plain' and item_id % 2 = 0 then trim(prefix) || chr(10) || 'x' else raw_response end as raw_response) from scores),
 rates as (
-  select {RUN}, count(*) as n, avg((trim(raw_response) = '')::int) as empty_rate, 0.0::double as example_echo_rate,
+  select {RUN}, count(*) as n, avg((trim(raw_response) = '')::int) as empty_rate, avg((len({LINES}) >= 2 and contains(prefix, trim({LINES}[1])))::int) as example_echo_rate,
     avg((length(question) >= 12 and raw_response <> '' and contains(raw_response, question))::int) as question_echo_rate,
     (count(*) filter (em_strict = 0))::bigint as wrong,
     coalesce(avg((regexp_matches(gold, '[0-9a-zəğışçöüA-ZƏĞIŞÇÖÜİ]') and contains(lower(regexp_replace(raw_response, '[^0-9a-zəğışçöüA-ZƏĞIŞÇÖÜİ]', '', 'g')), lower(regexp_replace(gold, '[^0-9a-zəğışçöüA-ZƏĞIŞÇÖÜİ]', '', 'g'))))::int) filter (em_strict = 0), 0.0) as recoverable_rate
-  from scores group by {RUN})"""
+  from broken group by {RUN})"""
 
 VOTES = """votes as (
   select event_type as model, user_id as item_id, substr('ABCD', (max(event_id) % 4 + 1)::int, 1) as letter, substr('ABCD', (user_id % 4 + 1)::int, 1) as key
@@ -165,8 +167,8 @@ select doc_id, round({f1('a', 'b')}, 9) as f1 from pairs""",
 select {rounded(RUN + ', n', 'em_strict', 'em_morph', 'em_lenient', 'em_translit')}, round(em_morph - em_strict, 9) as morph_gain, round(em_lenient - em_morph, 9) as lenient_gain, round(em_translit - em_lenient, 9) as translit_gain from t""",
     "score_best_gold": f"with {RUNS} select {RUN}, item_id, em_strict, em_morph, em_lenient, em_translit, round(f1_strict, 9) as f1_strict, round(f1_translit, 9) as f1_translit from scores",
     "extract_answer_runs": f"with {RUNS} select {RUN}, item_id, prediction from scores",
-    "classify_errors": f"""with {RUNS}, c as (select *, case when prediction = '' then 'blank' when em_strict = 1 then '' when em_morph = 1 then 'morphology' when em_lenient = 1 then 'diacritics'
-  when em_translit = 1 then 'script' when regexp_matches(prediction, '[\\x{{0400}}-\\x{{04FF}}]') then 'cyrillic, not recovered' when f1_strict > 0 then 'partial overlap' else '' end as error from scores)
+    "classify_errors": f"""with {RUNS}, c as (select *, case when prediction = '' then 'boş cavab' when em_strict = 1 then '' when em_morph = 1 then 'morfologiya' when em_lenient = 1 then 'diakritika'
+  when em_translit = 1 then 'yazı sistemi' when regexp_matches(prediction, '[\\x{{0400}}-\\x{{04FF}}]') then 'kiril, zəncir bərpa etmir' when f1_strict > 0 then 'qismən üst-üstə düşmə' else '' end as error from scores)
 select {RUN}, error, count(*) as n from c group by {RUN}, error""",
     "script_share": f"""with {RUNS} select {RUN}, count(*) as n, (count(*) filter (regexp_matches(prediction, '[\\x{{0400}}-\\x{{04FF}}]')))::bigint as cyrillic from scores group by {RUN}""",
     "out_of_script_docs": """with c as (select doc_id, list_sort(list_distinct(list_filter(string_split(text, ''), lambda x: regexp_matches(x, '\\p{L}') and not regexp_matches(x, '[abcçdeəfgğhxıijkqlmnoöprsştuüvyzABCÇDEƏFGĞHXIJKQLMNOÖPRSŞTUÜVYZİ]')))) as l from documents)
@@ -180,13 +182,12 @@ select language, sum(k)::bigint as n, round(max(k) / sum(k), 9) as majority from
     "provenance_pivot": f"""with {RUNS} select model, language, {', '.join(f'round(avg(em_strict) filter (provenance = {k}), 9) as p{k}' for k in range(3))} from scores group by model, language""",
     "coverage_partition": f"""with {RUNS}, kept as (select * from runs where not (model = 'm3' and item_id % 8 = 0)) select {RUN}, count(distinct item_id)::bigint as shared, (select count(*) from items)::bigint as total, count(distinct item_id) >= 0.9 * (select count(*) from items) as complete from kept group by {RUN}""",
     "missing_answers": f"""with {RUNS}, kept as (select * from runs where not (model = 'm3' and item_id % 8 = 0)), seen as (select distinct {RUN} from kept) select c.{RUN.replace(', ', ', c.')}, i.item_id from seen c cross join items i anti join kept k on (k.model = c.model and k.language = c.language and k.prompt_style = c.prompt_style and k.item_id = i.item_id)""",
-    "gate_rates": f"with {RATES} select {rounded(RUN + ', n, wrong', 'empty_rate', 'example_echo_rate', 'question_echo_rate', 'recoverable_rate')}, case when empty_rate > 0.2 then 'empty' when question_echo_rate > 0.2 then 'question echo' when recoverable_rate > 0.3 then 'extraction' end as failed_gate from rates",
-    "gate_funnel": f"""with {RATES} select count(*) as runs, count(*) as covered, count(*) filter (empty_rate <= 0.2) as not_empty, count(*) filter (empty_rate <= 0.2) as no_example_echo,
-  count(*) filter (empty_rate <= 0.2 and question_echo_rate <= 0.2) as no_question_echo, count(*) filter (empty_rate <= 0.2 and question_echo_rate <= 0.2 and recoverable_rate <= 0.3) as extractable from rates""",
+    "gate_rates": f"with {RATES} select {rounded(RUN + ', n, wrong', 'empty_rate', 'example_echo_rate', 'question_echo_rate', 'recoverable_rate')}, case when empty_rate > 0.2 then 'empty' when example_echo_rate > 0.2 then 'example echo' when question_echo_rate > 0.2 then 'question echo' when recoverable_rate > 0.3 then 'extraction' end as failed_gate from rates",
+    "gate_funnel": f"""with {RATES}, t as (select r.*, (select count(distinct item_id) from runs u where (u.model, u.language, u.prompt_style) = (r.model, r.language, r.prompt_style)) >= 0.9 * (select count(*) from items) as c, empty_rate <= 0.2 as e, example_echo_rate <= 0.2 as x, question_echo_rate <= 0.2 as q, recoverable_rate <= 0.3 as y from rates r)
+select count(*) as runs, count(*) filter (c) as covered, count(*) filter (c and e) as not_empty, count(*) filter (c and e and x) as no_example_echo, count(*) filter (c and e and x and q) as no_question_echo, count(*) filter (c and e and x and q and y) as extractable from t""",
     "rq1_gap": f"{GAP} select {rounded('model, prompt_style, mode, n, discordant, net', 'mean_a', 'mean_b', 'diff', 'p', 'p_holm')} from corrected",
     "rq2_pairs": model_pairs("language = 'az'"),
     "control_gap": model_pairs("language = 'az' and item_id % 7 in (4, 6)"),
-    "prompt_verdict": f"{GAP} select model, count(*) as styles, case when count(*) < 2 then false else bool_and(diff > 0 and p_holm < 0.05) end as holds from corrected where mode = 'strict' group by model",
     "gap_closed": f"{GAP}, s as (select *, max(diff) filter (mode = 'strict') over (partition by model, prompt_style) as d0 from corrected) select model, prompt_style, mode, round(case when abs(d0) >= 1e-9 then (d0 - diff) / d0 end, 9) + 0.0 as closed from s",
     "gap_floor_marks": f"""with {RUNS} select model, language, round(avg(em_strict), 9) as em, case when avg(em_strict) < 0.05 then '*' when avg(em_strict) < 0.1 then '+' else '' end as mark from scores where item_id % 3 = 2 group by model, language""",
     "excess_damage": f"""with {RUNS}, pairs as (select * from (values {', '.join(str(p) for p in syn.PAIRS)}) v(label, base, tuned)),
@@ -195,7 +196,7 @@ four as (select label, b.prompt_style, b.item_id, b.em_strict - t.em_strict as a
   join scores be on be.model = base and be.language = 'en' and be.item_id = b.item_id and be.prompt_style = b.prompt_style join scores te on te.model = tuned and te.language = 'en' and te.item_id = b.item_id and te.prompt_style = b.prompt_style),
 s as (select label, prompt_style, count(*) as n, avg(az) as az_loss, avg(en) as en_loss, avg(az - en) as excess, 1.96 * stddev_samp(az - en) / sqrt(count(*)) as half, avg(tr) as translit_loss, avg(cy) as cyrillic_share from four group by all),
 z as (select *, excess - half as low, excess + half as high from s)
-select {rounded('label, prompt_style, n', 'az_loss', 'en_loss', 'excess', 'translit_loss', 'cyrillic_share', 'low', 'high')}, case when low > 0 and az_loss > 0 then 'damaged' when low > 0 then 'gained less' when high < 0 then 'spared' else 'no difference' end as verdict from z""",
+select {rounded('label, prompt_style, n', 'az_loss', 'en_loss', 'excess', 'translit_loss', 'cyrillic_share', 'low', 'high')}, case when low > 0 and az_loss > 0 then 'damaged' when low > 0 then 'gained less' when high < 0 and az_loss > 0 then 'lost less' when high < 0 then 'spared' else 'no difference' end as verdict from z""",
     "composition_subsets": f"""with {RUNS}, big as (select category from (select category, count(*) as k from items group by 1) order by k desc, category limit 1),
 w as (select model, prompt_style, item_id, category, max(em_strict) filter (language = 'en') - max(em_strict) filter (language = 'az') as d from scores group by all),
 f as (select *, category <> (select category from big) as a, category in (4, 6) as b from w),
@@ -263,3 +264,61 @@ FORMULAS = {
 ORACLES["math_items"] = f"""with p as (select distinct p_partkey % 40 + 3 as a, p_partkey % 50 + 43 as b from part),
 e as ({' union all '.join(f"select '{k}' as family, a, b, ({v})::bigint as answer from p" for k, v in FORMULAS.items())})
 select * from e where not contains(a::varchar || '|' || b::varchar, answer::varchar)"""
+
+
+def boot(source: str, group: str, value: str, name: str, resamples: int = 1000) -> str:
+    """name: low and high of the percentile bootstrap of a mean by group, drawn by md5 in the order of item_id."""
+    return f"""{name}_v as (select {group}, list({value} order by item_id) as x from {source} group by all), {name}_r as (select *, unnest(range(0, {resamples})) as r from {name}_v),
+{name}_m as (select {group}, list_avg(list_transform(range(0, len(x)), lambda i: x[({uniform('0', 'r', 'i')} % len(x)) + 1])) as m from {name}_r),
+{name} as (select {group}, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from {name}_m group by all)"""
+
+
+GAPS = """gaps as (select model, prompt_style, item_id, e.em_strict as a, z.em_strict as b, e.em_strict - z.em_strict as d from (from scores where language = 'en') e join (from scores where language = 'az') z using (model, prompt_style, item_id))"""
+PAIR_GAPS = """gaps as (select x.model as model_a, y.model as model_b, prompt_style, item_id, x.em_strict as a, y.em_strict as b, x.em_strict - y.em_strict as d from (from scores where language = 'az') x join (from scores where language = 'az') y using (prompt_style, item_id) where x.model < y.model)"""
+COMPARED = "n, discordant, net"
+PAIRS_SQL = f"pairs as (select * from (values {', '.join(str(p) for p in syn.PAIRS)}) v(label, base, tuned))"
+CHOICES = f"""choices as (
+  select model, item_id, (case when item_id % 4 = (item_id % 4 + u % 2) then 1.0 else 0.0 end)::double as chosen
+  from (select item_id, m.model, {uniform('item_id', 'm.model', "'letter'")} as u from items cross join (select unnest({list(syn.MODELS)}) as model) m)),
+written as (select model, item_id, {', '.join(f'em_{m.name}' for m in MODES)} from scores where language = 'az' and prompt_style = 'default')"""
+
+
+def intervals(gaps: str, group: str) -> str:
+    return f"""with {RUNS}, {gaps}, {paired('select * from gaps', group)}, {boot('gaps', group, 'd', 'ci')}
+select {rounded(group + ', ' + COMPARED, 'mean_a', 'mean_b', 'diff', 'p', 'low', 'high')} from tested join ci using ({group})"""
+
+
+FOUR = " union all ".join(
+    f"select label, b.prompt_style, '{m.name}' as mode, {i} as mode_order, '{g}' as language, b.item_id, b.em_{m.name} as a, t.em_{m.name} as b, b.em_{m.name} - t.em_{m.name} as d from pairs join scores b on b.model = base and b.language = '{g}' join scores t on t.model = tuned and t.language = '{g}' and t.item_id = b.item_id and t.prompt_style = b.prompt_style"
+    for i, m in enumerate(MODES) for g in ("az", "en")
+)
+LETTERS_END = "A-Za-zƏəĞğİıÖöŞşÇçÜü"
+ORACLES |= {
+    "main_table": f"""with {RUNS}, {boot('scores', RUN, 'em_strict', 'e')}, {boot('scores', RUN, 'f1_strict', 'f')},
+t as (select {RUN}, count(*) as n, avg(em_strict) as em, avg(f1_strict) as f1 from scores group by {RUN}),
+g as (select {RUN}, {norm('gold', text.STRICT)} as g, count(*) as k from scores group by all), m as (select {RUN}, max(k) / sum(k) as baseline from g group by {RUN})
+select {RUN}, t.n, round(em, 9) as em, round(e.low, 9) as em_low, round(e.high, 9) as em_high, round(f1, 9) as f1, round(f.low, 9) as f1_low, round(f.high, 9) as f1_high, round(baseline, 9) as baseline from t join e using ({RUN}) join f using ({RUN}) join m using ({RUN})""",
+    "rq1_intervals": intervals(GAPS, "model, prompt_style"),
+    "rq2_intervals": intervals(PAIR_GAPS, "model_a, model_b, prompt_style"),
+    "confirmatory_table": f"""with {RUNS}, {PAIRS_SQL}, gaps as ({FOUR}), {paired('select * from gaps', 'label, prompt_style, mode, mode_order, language')}, {with_holm('tested', 'label, prompt_style, language, mode_order')}, {boot('gaps', 'label, prompt_style, mode, language', 'd', 'ci')}
+select {rounded('label, prompt_style, mode, language, n, discordant, net', 'mean_a', 'mean_b', 'diff', 'p', 'p_holm', 'low', 'high')}, p_holm < 0.05 as significant from corrected join ci using (label, prompt_style, mode, language)""",
+    "prompt_verdict": f"""with {RATES}, {GAPS}, {boot('gaps', 'model, prompt_style', 'd', 'ci')}, ok as (select model, prompt_style from rates group by all having count(distinct language) = 2 and max(empty_rate) <= 0.2)
+select model, count(*) as styles, case when count(*) < 2 then false else bool_and(low > 0) end as holds from ci join ok using (model, prompt_style) group by model""",
+    "pair_gates": f"""with {RATES}, {PAIRS_SQL}, g as (select *, case when empty_rate > 0.2 then 'empty' when example_echo_rate > 0.2 then 'example echo' when question_echo_rate > 0.2 then 'question echo' when recoverable_rate > 0.3 then 'extraction' end as gate from rates)
+select label, prompt_style, string_agg(distinct model || ' ' || language || ' ' || prompt_style || ' ' || gate, ', ' order by model || ' ' || language || ' ' || prompt_style || ' ' || gate) as failures from g join pairs on model in (base, tuned) where gate is not null group by label, prompt_style""",
+    "error_shares": "",
+    "format_contrast": f"""with {RUNS}, {CHOICES}, gaps as ({' union all '.join(f"select model, '{m.name}' as mode, item_id, chosen as a, em_{m.name} as b, chosen - em_{m.name} as d from choices join written using (model, item_id)" for m in MODES)}), {paired('select * from gaps', 'model, mode')}, {boot('gaps', 'model, mode', 'd', 'ci')}
+select {rounded('model, mode, ' + COMPARED, 'mean_a', 'mean_b', 'diff', 'p', 'low', 'high')} from tested join ci using (model, mode)""",
+    "retention": f"""with {RUNS}, {CHOICES}, kept as ({' union all '.join(f"select model, '{m.name}' as mode, item_id, em_{m.name} as d from choices join written using (model, item_id) where chosen = 1" for m in (text.STRICT, MODES[-1]))}), {boot('kept', 'model, mode', 'd', 'ci')}
+select model, mode, count(*) as n, round(avg(d), 9) as kept, round(any_value(low), 9) as low, round(any_value(high), 9) as high from kept join ci using (model, mode) group by model, mode""",
+    "mcq_letter": f"""with t as (select *, regexp_replace(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)), '^\\s*(?:cavab|answer)\\s*[:.]\\s*', '', 'i') as s from conversations),
+l as (select *, regexp_extract(s, '^[\\s:.\\-*_`"''(\\[]*([ABCD])(?:[^{LETTERS_END}]|$)', 1) as first, regexp_extract(coalesce(text, ''), '(?i:cavab|answer)\\s*[:.]\\s*[*_`"''(\\[]*((?i)[ABCD])(?:[^{LETTERS_END}]|$)', 1) as later from t)
+select conv_id, turn, role, case when first <> '' then first else later end as letter, md5(text) as text_md5 from l""",
+    "gold_answers": f"""with {ITEMS} select item_id, array_to_string(list_concat([answer], aliases), '|') as golds_az, array_to_string(list_concat([question_en], case when len(list_filter(string_split_regex(question_en, '\\s+'), lambda w: w <> '')) > 1 then list_filter(string_split_regex(question_en, '\\s+'), lambda w: w <> '') else [] end), '|') as golds_en from items""",
+    "answer_present": f"""with {RUNS}, f as (select {RUN}, item_id, lower(regexp_replace(raw_response, '[^0-9a-zəğışçöüA-ZƏĞIŞÇÖÜİ]', '', 'g')) as r, lower(regexp_replace(gold, '[^0-9a-zəğışçöüA-ZƏĞIŞÇÖÜİ]', '', 'g')) as g from runs) select {RUN}, item_id, g <> '' and contains(r, g) as present from f""",
+    "agreement_by_stratum": """with b as (select d.source, l.quality as a, l.toxic as b from labels l join documents d using (doc_id)), t as (select source, count(*) as n, count(*) filter (a = b) / count(*) as po, (sum(a) * sum(b) + (count(*) - sum(a)) * (count(*) - sum(b))) / (count(*) * count(*)) as pe from b group by source), k as (select *, case when pe = 1 then 'NaN'::double else (po - pe) / (1 - pe) end as kappa from t)
+select source, n, round(po, 9) as agreement, round(kappa, 9) as kappa, case when isnan(kappa) then 'undefined' when kappa < 0 then 'poor' when kappa < 0.2 then 'slight' when kappa < 0.4 then 'fair' when kappa < 0.6 then 'moderate' when kappa < 0.8 then 'substantial' else 'almost perfect' end as reading from k""",
+    "kappa_bands": "with k as (select unnest(range(-10, 101)) / 100 as kappa) select kappa, case when kappa < 0 then 'poor' when kappa < 0.2 then 'slight' when kappa < 0.4 then 'fair' when kappa < 0.6 then 'moderate' when kappa < 0.8 then 'substantial' else 'almost perfect' end as reading from k",
+    "prompt_texts": f"""with {ITEMS} select item_id, md5('Sual: Misir. Cavab: Qahir' || chr(10) || 'Sual: ' || question_az || chr(10) || 'A) ' || answer || chr(10) || 'B) ' || answer_en || chr(10) || 'C) x' || chr(10) || 'D) y' || chr(10) || 'Cavab:') as prompt_md5, 'Sual: Misir. Cavab: Qahir' || chr(10) || 'Sual: ' as prefix from items""",
+}
+ORACLES["error_shares"] = f"""with k as ({ORACLES['classify_errors']}) select {RUN}, error, n, round(n / sum(n) over (partition by {RUN}), 9) as share from k"""

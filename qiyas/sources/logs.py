@@ -27,7 +27,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Line numbers need each file's lines in order, so a file is one split here; use it for drafts, not for logs.
     """
-    text = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.jsonl").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    text = spark.read.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     rows = text.select("file", F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(F.trim("raw") != "")
     parsed = rows.withColumn("_r", F.from_json("raw", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return parsed.select("file", (F.col("line") + 1).alias("line"), "_r.*", F.col("_r._bad").alias("error")).drop("_bad")
@@ -80,7 +80,7 @@ def write_sheet(df: DataFrame, path: str) -> None:
 
 
 def run_file_name(model: str, language: str, style: str = "default") -> str:
-    stem = f"{model.replace('/', '_').replace(':', '_')}__{language}"
+    stem = f"{model.replace('/', '__').replace(':', '_')}__{language}"
     return f"{stem}.jsonl" if style == "default" else f"{stem}__{style}.jsonl"
 
 

@@ -27,7 +27,7 @@ def test_votes_sheets_and_names(spark, tmp_path):
     logs.write_sheet(spark.createDataFrame([("=x", 1)], "a string, b int"), f"{tmp_path}/sheet")
     back = logs.read_sheet(spark, f"{tmp_path}/sheet")
     assert back.columns == ["a", "b"] and back.first().b == "1"
-    assert logs.run_file_name("a/b:c", "az", "plain") == "a_b_c__az__plain.jsonl"
+    assert logs.run_file_name("a/b:c", "az", "plain") == "a__b_c__az__plain.jsonl"
     ids = spark.createDataFrame([("az-009",), ("x",), ("az-1000",)], "id string")
     assert logs.next_free_id(ids).first().next_id == 1001
 
