@@ -13,8 +13,8 @@ between clusters, and no pairs inside a large cluster of near copies are ever li
 For those, the matrix of tokens and groups is kept in rows. All tokens have one order: by the
 number of classes that hold them, counted exactly in buckets of tokens, then by hash. Linked
 sets share a token among the first few of each (a prefix whose length follows from the
-threshold), so only prefixes are looked up: a query class and a group meet if they share such
-a token at places that still allow a link. Then the overlap of the query with the union of
+threshold), so only prefixes are looked up: two clusters meet if they share such a token at
+places that still allow a link, and the classes of the smaller ask the groups of the other. Then the overlap of the query with the union of
 the group's tokens is bounded; only if it reaches the share of the query that a link needs is
 the group opened, and its classes compared one by one until one links.
 
@@ -354,18 +354,31 @@ def postings(docs: DataFrame, members: DataFrame, heavy: np.ndarray, buckets: in
     return told.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(prefixes, "token long, set_id binary, cluster long, group long, n int, place int")
 
 
-def candidates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """query, group: classes and groups of other clusters that share a token where a link is still possible."""
+def candidates(rows: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """query, group: classes and groups of two clusters that share a token where a link is still possible.
+
+    Whole clusters meet first, one row for a token and cluster whatever its size; then the classes of the one with fewer
+    are the queries and the groups of the other are asked.
+    """
     # tokens of a single cluster, nearly all by now, have nothing to tell
     crossing = rows.groupBy("token").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a != b").select("token")
     met = scratch.table(rows.join(crossing, "token", "left_semi"), "crossing")
-    # a group's rows for a token are one: its sizes, and the most tokens from there on
-    x = met.where(F.col("place") < F.col("n") - F.ceil(F.col("n") * 2 * SHARE / (100 + SHARE)) + 1)
-    x = x.groupBy("token", "group", F.col("cluster").alias("xc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("xleft"))
-    y = met.select("token", F.col("set_id").alias("query"), F.col("cluster").alias("yc"), F.col("n").alias("yn"), (F.col("n") - F.col("place")).alias("yleft"))
-    smaller = F.greatest("least", F.ceil(F.col("yn") * SHARE / 100))
-    fits = (F.col("least") <= F.col("yn")) & (F.col("most") * 100 >= F.col("yn") * SHARE) & (F.least("xleft", "yleft") * (100 + SHARE) >= (smaller + F.col("yn")) * SHARE)
-    return x.join(y, "token").where((F.col("xc") != F.col("yc")) & fits).select("query", "group").distinct()
+    # a cluster's rows for a token are one: its sizes, and the most tokens from there on
+    side = lambda x: [F.min("n").alias(f"{x}least"), F.max("n").alias(f"{x}most"), F.max(F.col("n") - F.col("place")).alias(f"{x}left")]
+    index = met.where(F.col("place") < F.col("n") - F.ceil(F.col("n") * 2 * SHARE / (100 + SHARE)) + 1)
+    x = index.groupBy("token", F.col("cluster").alias("xc")).agg(*side("x"))
+    y = met.groupBy("token", F.col("cluster").alias("yc")).agg(*side("y"))
+    # the least sizes that the smaller and the larger set of a link can have
+    smaller, larger = F.greatest("xleast", F.ceil(F.col("yleast") * SHARE / 100)), F.greatest("xleast", "yleast")
+    fits = (F.col("xleast") <= F.col("ymost")) & (F.col("xmost") * 100 >= F.col("yleast") * SHARE) & (F.least("xleft", "yleft") * (100 + SHARE) >= (smaller + larger) * SHARE)
+    both = x.join(y, "token").where((F.col("xc") != F.col("yc")) & fits).select(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b")).distinct()
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("k"))
+    sized = both.join(sizes.withColumnsRenamed({"cluster": "a", "k": "ka"}), "a").join(sizes.withColumnsRenamed({"cluster": "b", "k": "kb"}), "b")
+    fewer = F.col("ka") <= F.col("kb")
+    turned = scratch.table(sized.select(F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("cluster"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("asked")), "met_clusters")
+    queries = turned.join(members.select("cluster", F.col("set_id").alias("query")), "cluster")
+    groups = members.select(F.col("cluster").alias("asked"), "group").distinct()
+    return queries.join(groups, "asked").select("query", "group")
 
 
 def dealt(pairs: DataFrame, members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -418,7 +431,7 @@ def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = scratch.table(named, "members")
     buckets = max(1, -(-(classes.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
     rows = scratch.table(postings(docs, members, heavy, buckets), "postings")
-    pairs = scratch.table(candidates(rows, scratch), "candidates")
+    pairs = scratch.table(candidates(rows, members, scratch), "candidates")
     scratch.drop("postings", "crossing")
     links = opened_links(docs, pairs, members.join(pairs.select("group").distinct(), "group", "left_semi"), scratch)
     name = members.select("set_id", "component")
