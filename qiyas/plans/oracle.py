@@ -1,4 +1,4 @@
-"""DuckDB SQL of the catalogue's queries, written from the definitions of the tables, not from the DataFrame code."""
+"""DuckDB SQL of the catalogue's queries, written from their definitions; letter tables and synthetic constants are the library's own."""
 
 from __future__ import annotations
 
