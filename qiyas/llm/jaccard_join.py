@@ -49,7 +49,7 @@ ROUNDS, GROUP = 3, 64
 #: Queries that one task compares with one group.
 QUERIES = 256
 #: Tokens that one task puts in order at once, and those that a task gathers before it deals them out.
-BUCKET_TOKENS, GATHERED = 3_000_000, 2_000_000
+BUCKET_TOKENS, GATHERED = 1_500_000, 1_000_000
 #: Classes from which the heaviest tokens are known, and their least share.
 SAMPLE, HEAVY = 4000, 0.005
 COEFFICIENTS = tb.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -309,6 +309,7 @@ def postings(docs: DataFrame, members: DataFrame, heavy: np.ndarray, buckets: in
     kept = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def shared(key, table):
+        tb.release()
         of, found = opened_rows(table)
         if key[0].as_py() < 0:
             found, of = once(found, of)
@@ -333,6 +334,7 @@ def postings(docs: DataFrame, members: DataFrame, heavy: np.ndarray, buckets: in
         return pa.table({"shard": pa.array(there, pa.int32()), "classes": cut(of), "tokens": cut(found), "counts": cut(count.astype(np.uint32))})
 
     def prefixes(left, right):
+        tb.release()
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in left.column(name)]) if left.num_rows else np.zeros(0, kind)
         of, found, count = join("classes", np.int64), join("tokens", np.uint64), join("counts", np.uint32)
         order = np.lexsort((found, count, of))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,6 +11,14 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 
 
+def release() -> None:
+    """Gives memory that this worker has freed back to the system, where the C library can: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -38,6 +47,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+    release()
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:
