@@ -54,44 +54,62 @@ BESIDE = WINDOW - GRAM - STEP
 SORTED_BYTES = 6 << 20
 
 
-def window_least(keys: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` consecutive keys, by running minima over blocks from both sides."""
-    n = len(keys) - width + 1
-    if n <= 0:
-        return keys[:0]
-    full = -(-len(keys) // width) * width
-    x = np.full(full, np.iinfo(np.uint64).max, np.uint64)
-    x[: len(keys)] = keys
-    grid = x.reshape(-1, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
-
-def segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first window, last window (starts within the flat bytes) and anchor hash of every segment."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < WINDOW:
+#: Windows whose least grams are taken at once, so that the arrays in use stay in a core's cache.
+BLOCK = 32 << 10
+
+
+def window_least(sums: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Of each WINDOW bytes the least gram: the upper half of its hash, then its start.
+
+    Minima of 2, 4, 8 ... neighbours are taken from each other, in two buffers by turns.
+    """
+    grams = WINDOW - GRAM + 1
+    inverse = tb.powers(len(sums), tb.INVERSE)
+    out = np.empty(max(len(sums) - WINDOW, 0), np.uint64)
+    x, y = np.empty(block + grams - 1, np.uint64), np.empty(block + grams - 1, np.uint64)
+    for low in range(0, len(out), block):
+        n = min(block, len(out) - low)
+        m = n + grams - 1
+        a, b = x[:m], y[:m]
+        np.subtract(sums[low + GRAM : low + GRAM + m], sums[low : low + m], out=a)
+        a *= inverse[low : low + m]
+        a += np.uint64(GRAM)
+        tb.mix_in_place(a, b)
+        a &= np.uint64(0xFFFFFFFF00000000)
+        a |= np.arange(low, low + m, dtype=np.uint64)
+        width = 1
+        while 2 * width <= grams:
+            m -= width
+            np.minimum(a[:m], a[width : width + m], out=b[:m])
+            a, b, width = b, a, 2 * width
+        np.minimum(a[:n], a[grams - width : grams - width + n], out=out[low : low + n])
+    return out
+
+
+def segments(sums: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first window, last window (starts within the flat bytes) and anchor hash of every segment; sums: prefix sums of the bytes."""
+    least = window_least(sums)
+    n = len(least)
+    if not n:
+        none = np.zeros(0, np.int64)
         return none, none, none, none
-    sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
-    first = np.arange(len(raw) - GRAM + 1)
-    grams = tb.span_hashes(sums, first, first + GRAM, inverse)
-    # the upper half of the hash decides, then the position: the leftmost of the least
-    keys = (grams & np.uint64(0xFFFFFFFF00000000)) | first.astype(np.uint64)
-    anchor = (window_least(keys, WINDOW - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    row = tb.row_of(at)[: len(anchor)]
-    inside = np.arange(len(anchor)) + WINDOW <= at[1:][row]
-    new = np.ones(len(anchor), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+    # by rows: windows that end inside, and starts whose window would not
+    fit = np.maximum(np.diff(at) - (WINDOW - 1), 0)
+    inside = np.repeat(np.tile([True, False], len(fit)), np.stack([fit, np.diff(at) - fit], axis=1).ravel())[:n]
+    new = np.ones(n, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[at[at < n]] = True
     starts = np.flatnonzero(new & inside)
-    ends = np.ones(len(anchor), bool)
+    ends = np.ones(n, bool)
     ends[:-1] = new[1:] | ~inside[1:]
     lasts = np.flatnonzero(ends & inside)
+    anchor = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    grams = tb.span_hashes(sums, anchor, anchor + GRAM, tb.powers(len(sums), tb.INVERSE))
     # mixed again: the least of many hashes are all small
-    return row[starts], starts, lasts, tb.mix(grams[anchor[starts]]).view(np.int64)
+    return np.searchsorted(at, starts, side="right") - 1, starts, lasts, tb.mix(grams).view(np.int64)
 
 
-def runs(raw: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(sums: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each segment's run, and of every run its first segment, its last, and a 64-bit hash of its bytes.
 
     A run ends with its document or before a segment whose anchor's hash is a multiple of RUN.
@@ -101,8 +119,7 @@ def runs(raw: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray, a
     new[1:] = (of[1:] != of[:-1]) | (anchor[1:] % RUN == 0)
     a = np.flatnonzero(new)
     b = np.append(a[1:], n) - 1 if n else a
-    sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
-    digest = tb.span_hashes(sums, first[a], last[b] + WINDOW, inverse).view(np.int64) if n else np.zeros(0, np.int64)
+    digest = tb.span_hashes(sums, first[a], last[b] + WINDOW, tb.powers(len(sums), tb.INVERSE)).view(np.int64) if n else np.zeros(0, np.int64)
     return np.cumsum(new) - 1, a, b, digest
 
 
@@ -112,8 +129,9 @@ def anchor_keys(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches):
             raw, at = tb.utf8(batch.column(0))
-            of, first, last, anchor = segments(raw, at)
-            run_of, _, _, digest = runs(raw, of, first, last, anchor)
+            sums = tb.prefix_sums(raw)
+            of, first, last, anchor = segments(sums, at)
+            run_of, _, _, digest = runs(sums, of, first, last, anchor)
             # an anchor that stands again in its own run counts as one of another run
             order = np.lexsort((anchor, run_of))
             again = np.zeros(len(anchor), bool)
@@ -129,8 +147,9 @@ def run_places(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches):
             raw, at = tb.utf8(batch.column(2))
-            of, first, last, anchor = segments(raw, at)
-            _, a, b, digest = runs(raw, of, first, last, anchor)
+            sums = tb.prefix_sums(raw)
+            of, first, last, anchor = segments(sums, at)
+            _, a, b, digest = runs(sums, of, first, last, anchor)
             data = raw.tobytes()
             start, stop = first[a], last[b] + WINDOW
             second = np.array([int.from_bytes(hashlib.blake2b(data[x:y], digest_size=8).digest(), "little", signed=True) for x, y in zip(start.tolist(), stop.tolist(), strict=True)], np.int64)
@@ -140,11 +159,11 @@ def run_places(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "tie", "text").mapInArrow(run, "d1 long, d2 long, doc_id long, tie long, start int, stop int")
 
 
-def anchor_places(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def anchor_places(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Where the anchors of segments stand: the leftmost least gram of the last window."""
     if not len(first):
         return first
-    sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
+    inverse = tb.powers(len(sums), tb.INVERSE)
     at = last[:, None] + np.arange(WINDOW - GRAM + 1)
     grams = tb.span_hashes(sums, at, at + GRAM, inverse) >> np.uint64(32)
     return last + grams.argmin(axis=1)
@@ -186,15 +205,15 @@ def places(docs: DataFrame, shared, with_bytes: bool) -> DataFrame:
         member = Member(shared)
         for batch in tb.slices(batches):
             raw, at = tb.utf8(batch.column(2))
-            of, first, last, anchor = segments(raw, at)
+            sums = tb.prefix_sums(raw)
+            of, first, last, anchor = segments(sums, at)
             use = member(anchor) if len(anchor) else np.zeros(0, bool)
             of, first, last, anchor = of[use], first[use], last[use], anchor[use]
             data = raw.tobytes() if with_bytes else b""
             parts = [data[a : b + WINDOW] for a, b in zip(first.tolist(), last.tolist(), strict=True)] if with_bytes else [None] * len(first)
-            sums, inverse = tb.prefix_sums(raw), tb.powers(len(raw) + 1, tb.INVERSE)
-            digest = tb.span_hashes(sums, first, last + WINDOW, inverse).view(np.int64)
+            digest = tb.span_hashes(sums, first, last + WINDOW, tb.powers(len(sums), tb.INVERSE)).view(np.int64)
             row = pa.array(of)
-            place = (anchor_places(raw, first, last) - first).astype(np.int32) if with_bytes else np.zeros(len(first), np.int32)
+            place = (anchor_places(sums, first, last) - first).astype(np.int32) if with_bytes else np.zeros(len(first), np.int32)
             cols = [anchor, digest, batch.column(0).take(row), batch.column(1).take(row), (first - at[of]).astype(np.int32), (last - first + 1).astype(np.int32), parts, place]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in PLACES.split(", ")])
 

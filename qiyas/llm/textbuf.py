@@ -65,6 +65,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix_in_place(x: np.ndarray, spare: np.ndarray) -> None:
+    """mix, written over x; spare is an array of its length."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        x ^= spare
+        if factor is not None:
+            x *= np.uint64(factor)
+
+
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = 0x9FB21C651E98DF25
 
