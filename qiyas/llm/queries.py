@@ -125,6 +125,83 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import periodic
+
+    found = periodic.detected(documents(spark, sf_dir), periodic.planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    rows = found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return rows.withColumn("exponent_milli", F.call_function("div", 1000 * F.col("length"), F.col("period")))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import mixing
+
+    taken, quota = mixing.mixed(documents(spark, sf_dir), F.array("source"))
+    of = taken.select("doc_id", "size", "taken", F.col("sources")[0].alias("source"))
+    return of.join(quota, "source").select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: A document has one source here, so a source's words are its own and the flow is the smaller of its quota and twice its words.
+OP12_SQL = """
+with docs as (
+  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::bigint as size,
+    ('0x' || left(md5(concat_ws('|', '7', coalesce(doc_id::varchar, ''), md5(coalesce(text, '')))), 15))::bigint as place
+  from documents),
+sized as (select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) as number from docs group by source),
+weighed as (select *, [3, 1, 2][(number - 1) % 3 + 1] as weight, 2 * source_size as most from sized),
+ordered as (
+  select *, sum(most) over w - most as held, sum(weight) over () - (sum(weight) over w - weight) as weighs, sum(source_size) over () as total, row_number() over w as j
+  from weighed window w as (order by most / weight, number rows unbounded preceding)),
+level as (select held, weighs from ordered where most >= weight * (1.5::double * total - held) / weighs order by j limit 1),
+quotas as (select o.source, o.source_size, least(o.most::double, o.weight * (1.5::double * o.total - l.held) / l.weighs) as target from ordered o, level l),
+given as (select *, least(round(target)::bigint, 2 * source_size) as given from quotas),
+placed as (
+  select d.*, q.source_size, q.target, case when q.source_size > 0 then q.given // q.source_size else 0 end as times, case when q.source_size > 0 then q.given % q.source_size else 0 end as rest,
+    sum(size) over (partition by d.source order by place range unbounded preceding) as upto, sum(size) over (partition by d.source, place) as block
+  from docs d join given q on d.source is not distinct from q.source)
+select doc_id, size, source_size, target,
+  (size * times + case when upto <= rest then size when upto - block < rest then size * (rest - upto + block) // block else 0 end)::bigint as taken
+from placed
+"""
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qiyas.llm import divergence
+
+    return divergence.audited(documents(spark, sf_dir))
+
+
+OP13_SQL = """
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents),
+terms as (select r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as c from terms group by all having count(distinct r) >= 3),
+langs as (select lang, count(*) as v, sum(c) as n from kept group by lang),
+cells as (select lang, source, term, count(*) as c from terms semi join kept using (lang, term) group by all),
+groups as (
+  select g.lang, g.source, coalesce(l.v, 0) as v, coalesce(c.n, 0) as n
+  from (select distinct lang, source from docs) g left join langs l using (lang) left join (select lang, source, sum(c) as n from cells group by all) c using (lang, source)),
+shares as (
+  select g.lang, g.source, k.term, coalesce(c.c, 0) as c, (1 + (1000000000::hugeint * (coalesce(c.c, 0) + 1)) // (g.n + g.v)) as p,
+    (1 + (1000000000::hugeint * (k.c + 1)) // (l.n + l.v)) as q
+  from groups g join kept k using (lang) join langs l using (lang) left join cells c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+apart as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from shares where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from apart)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_fingerprints": op2_fingerprints,
@@ -136,5 +213,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_mixing": op12_mixing,
+    "op13_divergence": op13_divergence,
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op12_mixing": OP12_SQL, "op13_divergence": OP13_SQL}
