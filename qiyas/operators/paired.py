@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qiyas.functions import text
+from qiyas.operators import gates
 from qiyas.operators.scoring import score_table
 from qiyas.operators.statistics import bootstrap_hash, compared, holm, paired_summary, with_interval
 
@@ -30,11 +31,12 @@ def model_pairs(scores: DataFrame, language: str, items: DataFrame | None = None
     return holm(out.withColumn("_f", F.lit(1)), ["_f"], "p", ["model_a", "model_b", "prompt_style", "mode_order"]).drop("_f", "mode_order")
 
 
-def excess_damage(scores: DataFrame, pairs: DataFrame, interval: str = "bootstrap") -> DataFrame:
+def excess_damage(scores: DataFrame, pairs: DataFrame, interval: str = "bootstrap", failed: DataFrame | None = None) -> DataFrame:
     """Loss of the tuned model against its base in each language, and how much more it loses in az.
 
     pairs(label, base, tuned). Items that any of the four runs lacks don't count. The interval of the excess is the
     percentile bootstrap of its items, or with "normal" the mean and 1.96 standard errors on both sides.
+    Pairs that fail a gate in a style, see ``pair_gates``, are left out of it if ``failed`` is given: their numbers are no measurement.
     """
     each = pairs.select("label", F.explode(F.array(F.struct(F.lit("base").alias("role"), F.col("base").alias("model")), F.struct(F.lit("tuned").alias("role"), F.col("tuned").alias("model")))).alias("x")).select("label", "x.*")
     s = scores.select("model", "language", "prompt_style", "item_id", "em_strict", "em_translit", text.has_cyrillic(F.col("prediction")).cast("double").alias("cyrillic")).join(F.broadcast(each), "model")
@@ -43,6 +45,8 @@ def excess_damage(scores: DataFrame, pairs: DataFrame, interval: str = "bootstra
         F.count_distinct("role", "language").alias("_cells"), *[cell(r, g, "em_strict").alias(f"{r}_{g}") for r in ("base", "tuned") for g in ("az", "en")],
         cell("base", "az", "em_translit").alias("_bt"), cell("tuned", "az", "em_translit").alias("_tt"), cell("tuned", "az", "cyrillic").alias("_c"),
     ).where("_cells = 4")
+    if failed is not None:
+        four = four.join(failed.select("label", "prompt_style").distinct(), ["label", "prompt_style"], "left_anti")
     az, en = F.col("base_az") - F.col("tuned_az"), F.col("base_en") - F.col("tuned_en")
     out = four.groupBy("label", "prompt_style").agg(
         F.count("*").alias("n"), F.avg(az).alias("az_loss"), F.avg(en).alias("en_loss"), F.avg(az - en).alias("excess"),
@@ -89,11 +93,16 @@ def prompt_verdict(gap: DataFrame, usable: DataFrame) -> DataFrame:
     return of.select("model", "styles", F.when(F.col("styles") < 2, F.lit(False)).otherwise(F.col("_all")).alias("holds"))
 
 
-def pair_gates(gated: DataFrame, pairs: DataFrame) -> DataFrame:
-    """label and failures (model, language, style and gate) of the declared pairs of which any half fails a gate in either language. gated: output of ``gates.gated``."""
+def pair_gates(rates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """label and failures (model, language, style and gate) of the declared pairs of which any half fails a gate in either language.
+
+    The gates of a pair are the echo of examples, the echo of the question and extraction, in this order; empty responses are scored as they are.
+    rates: output of ``gates.rates``.
+    """
+    gate = F.when(F.col("example_echo_rate") > gates.ECHO, "example echo").when(F.col("question_echo_rate") > gates.ECHO, "question echo").when(F.col("recoverable_rate") > gates.RECOVERABLE, "extraction")
     halves = pairs.select("label", F.explode(F.array("base", "tuned")).alias("model"))
-    failed = gated.where("failed_gate is not null").join(F.broadcast(halves), "model")
-    one = F.concat_ws(" ", "model", "language", "prompt_style", "failed_gate")
+    failed = rates.where(F.col("language").isin("az", "en")).withColumn("_gate", gate).where("_gate is not null").join(F.broadcast(halves), "model")
+    one = F.concat_ws(" ", "model", "language", "prompt_style", "_gate")
     return failed.groupBy("label", "prompt_style").agg(F.array_join(F.array_sort(F.collect_set(one)), ", ").alias("failures"))
 
 

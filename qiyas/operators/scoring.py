@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from qiyas.functions import answers, text
 from qiyas.functions.text import MODES, STRICT, Mode
-from qiyas.operators.statistics import bootstrap_hash, compared
+from qiyas.operators.statistics import bootstrap_hash, bootstrap_hashes, compared
 
 RUN = ["model", "language", "prompt_style"]
 COVERAGE = 0.90
@@ -77,10 +77,9 @@ def classify_error(prediction: Column, golds: Column) -> Column:
 def main_table(scores: DataFrame, resamples: int = 1000) -> DataFrame:
     """Each run's number of items, strict EM and F1 with bootstrap intervals, and the share of the most frequent gold."""
     out = majority_baseline(scores, RUN).withColumnsRenamed({"majority": "baseline"})
-    for name in ("em", "f1"):
-        drawn = bootstrap_hash(scores, RUN, "item_id", f"{name}_strict", resamples)
-        out = out.join(drawn.select(*RUN, F.col("mean").alias(name), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high")), RUN)
-    return out
+    both = scores.select(*RUN, "item_id", F.col("em_strict").alias("em"), F.col("f1_strict").alias("f1"))
+    drawn = bootstrap_hashes(both, RUN, "item_id", ["em", "f1"], resamples).drop("n").withColumnsRenamed({"em_mean": "em", "f1_mean": "f1"})
+    return out.join(drawn, RUN)
 
 
 def error_summary(errors: DataFrame, group: list[str]) -> DataFrame:

@@ -63,20 +63,90 @@ def paired_summary(pairs: DataFrame, group: list[str], a: str, b: str) -> DataFr
 
 
 def bootstrap_hash(df: DataFrame, group: list[str], key: str, value: str, resamples: int = RESAMPLES, confidence: float = CONFIDENCE, seed: int = 0) -> DataFrame:
-    """Percentile bootstrap of the mean whose draws come from md5: row i of resample r is the row numbered hash(seed, r, i) mod n.
+    """n, mean, low and high: see ``bootstrap_hashes``."""
+    drawn = bootstrap_hashes(df, group, key, [value], resamples, confidence, seed)
+    return drawn.withColumnsRenamed({f"{value}_mean": "mean", f"{value}_low": "low", f"{value}_high": "high"})
 
-    Each group's values are an array once, in the order of the key, and each resample is a row of its own, so the
-    resamples of a large group are dealt to many tasks.
+
+def bootstrap_hashes(df: DataFrame, group: list[str], key: str, values: list[str], resamples: int = RESAMPLES, confidence: float = CONFIDENCE, seed: int = 0) -> DataFrame:
+    """n, and mean, low and high of each value: a percentile bootstrap whose draws come from md5.
+
+    Rows are numbered from 0 within their group in the order of the key; draw i of resample r is the row numbered hash(seed, r, i) mod n. The draws are
+    dealt out by the row that they hit, how often a resample hits a row is its weight there, and weighted values add up by (group, resample) in
+    any number of tasks. No group is held by one row or task. ``bootstrap`` does without numbers and draws.
+    """
+    w = Window.partitionBy(*group)
+    rows = df.select(*group, *[F.col(v).alias(f"_x{k}") for k, v in enumerate(values)], (F.row_number().over(w.orderBy(key)) - 1).cast("long").alias("_i"), F.count("*").over(w).alias("n"))
+    drawn = rows.select(*group, "n", "_i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_r"))
+    hits = drawn.select(*group, "_r", (hash_uniform(F.lit(seed), "_r", "_i") % F.col("n")).alias("_i")).groupBy(*group, "_i", "_r").agg(F.count("*").alias("_w"))
+    sums = hits.join(rows, [*group, "_i"]).groupBy(*group, "n", "_r").agg(*[F.sum(F.col("_w") * F.col(f"_x{k}")).alias(f"_x{k}") for k in range(len(values))])
+    tail = (1 - confidence) / 2
+    q = lambda k, x: F.percentile(F.col(f"_x{k}") / F.col("n"), F.lit(x))
+    bounds = sums.groupBy(*group).agg(*[q(k, x).alias(f"{v}_{name}") for k, v in enumerate(values) for name, x in (("low", tail), ("high", 1 - tail))])
+    return df.groupBy(*group).agg(F.count("*").alias("n"), *[F.avg(v).alias(f"{v}_mean") for v in values]).join(bounds, group)
+
+
+def poisson_thresholds() -> list[int]:
+    """Whole numbers t0 < t1 < ...: a uniform u below 2**32 has the weight k of a Poisson variable of mean 1 if k of them are at most u."""
+    out, term, total = [], Fraction(1), Fraction(1)
+    e = sum(Fraction(1, math.factorial(k)) for k in range(40))
+    while (t := int(total / e * 2**32)) < 2**32 - 1:
+        out.append(t)
+        term /= len(out)
+        total += term
+    return out
+
+
+def poisson_weight(u: Column) -> Column:
+    """The weight of a row by a uniform number below 2**32."""
+    tops = poisson_thresholds()
+    out = F.when(u < tops[0], 0)
+    for k, t in enumerate(tops[1:], 1):
+        out = out.when(u < t, k)
+    return out.otherwise(len(tops))
+
+
+def _hash_parts(seed: int, key: list[str], block: str) -> Column:
+    """The md5 of (seed, block, key): 32 hexadecimal digits."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(block).cast("string"), *[F.col(k).cast("string") for k in key]))
+
+
+def bootstrap(df: DataFrame, group: list[str], key: list[str], values: list[str], resamples: int = RESAMPLES, confidence: float = CONFIDENCE, seed: int = 0) -> DataFrame:
+    """Percentile bootstrap of means by weights: in each resample a row counts as often as a Poisson variable of mean 1 says.
+
+    The weight comes from the md5 of the row's key and the resample, so it needs no other row: each task sums weights and weighted
+    values of its rows, and these sums add up by (group, resample). Nothing holds a group, and rows of one key (the two scores of an
+    item, or an item in several groups) share their weights. Gives n, and <value>_mean, <value>_low and <value>_high of each value.
+    A resample in which all weights are 0 doesn't count.
     """
-    w = F.array_sort(F.collect_list(F.struct(key, value)))
-    arrays = df.groupBy(*group).agg(w.alias("_v"), F.count("*").alias("n"), F.avg(value).alias("mean"))
-    each = arrays.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draw = lambda i: F.element_at("_v", (hash_uniform(F.lit(seed), F.col("_r"), i) % F.col("n") + 1).cast("int"))[value]
-    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda acc, i: acc + draw(i))
-    means = each.select(*group, "n", "mean", (total / F.col("n")).alias("_m"))
+    blocks = -(-resamples // 4)  # an md5 gives the weights of four resamples
+    hashed = df.select(*group, *key, *values, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")).withColumn("_h", _hash_parts(seed, key, "_b"))
+    part = F.explode(F.sequence(F.lit(0), F.least(F.lit(3), F.lit(resamples - 1) - 4 * F.col("_b")))).alias("_p")
+    weighed = hashed.select(*group, *values, "_b", "_h", part).select(*group, *values, (4 * F.col("_b") + F.col("_p")).alias("_r"), poisson_weight(F.conv(F.substring("_h", 8 * F.col("_p") + 1, F.lit(8)), 16, 10).cast("long")).alias("_w"))
+    drawn = weighed.groupBy(*group, "_r").agg(F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
     tail = (1 - confidence) / 2
-    q = lambda x: F.percentile("_m", F.lit(x))
-    return means.groupBy(*group, "n", "mean").agg(q(tail).alias("low"), q(1 - tail).alias("high"))
+    mean = lambda v: F.when(F.col("_n") > 0, F.col(v) / F.col("_n"))
+    bounds = drawn.groupBy(*group).agg(*[F.percentile(mean(v), F.lit(x)).alias(f"{v}_{name}") for v in values for name, x in (("low", tail), ("high", 1 - tail))])
+    whole = df.groupBy(*group).agg(F.count("*").alias("n"), *[F.avg(v).alias(f"{v}_mean") for v in values])
+    return whole.join(bounds, group)
+
+
+def permutation(pairs: DataFrame, group: list[str], key: list[str], a: str, b: str, permutations: int = PERMUTATIONS, seed: int = 0) -> DataFrame:
+    """Two-sided sign-flip test by Monte Carlo: p = (hits + 1) / (permutations + 1), with n and the mean difference.
+
+    The sign of a row in a permutation is one digit of an md5 of its key: below 8 it stays. Signed sums of tasks add up by (group, permutation).
+    Rows without a difference have no sign and aren't moved.
+    """
+    width = 32  # signs that an md5 gives
+    rows = pairs.select(*group, *key, (F.col(a) - F.col(b)).alias("_d"))
+    whole = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg("_d").alias("diff"), F.sum("_d").alias("_sum"))
+    hashed = rows.where("_d <> 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-permutations // width) - 1))).alias("_b")).withColumn("_h", _hash_parts(seed, key, "_b"))
+    digit = F.explode(F.sequence(F.lit(0), F.least(F.lit(width - 1), F.lit(permutations - 1) - width * F.col("_b")))).alias("_p")
+    signed = hashed.select(*group, "_d", "_b", "_h", digit).select(*group, (width * F.col("_b") + F.col("_p")).alias("_r"), F.when(F.substring("_h", F.col("_p") + 1, F.lit(1)) < "8", F.col("_d")).otherwise(-F.col("_d")).alias("_d"))
+    sums = signed.groupBy(*group, "_r").agg(F.sum("_d").alias("_s")).join(whole.select(*group, "n", "_sum"), group)
+    hits = sums.groupBy(*group).agg(F.count_if(F.abs("_s") / F.col("n") >= F.abs("_sum") / F.col("n") - 1e-12).alias("_hits"))
+    # a group without differences is hit by every permutation
+    return whole.join(hits, group, "left").select(*group, "n", "diff", ((F.coalesce("_hits", F.lit(permutations)) + 1) / (permutations + 1)).alias("p"))
 
 
 def with_interval(out: DataFrame, pairs: DataFrame, group: list[str], key: str, a: str, b: str, resamples: int = RESAMPLES) -> DataFrame:

@@ -232,7 +232,7 @@ def bootstrap_hash(spark, sf_dir):
 
 @query
 def bootstrap_hash_full(spark, sf_dir):
-    """At the library's setting; without SQL."""
+    """At the library's setting."""
     return _bootstrap(spark, sf_dir, statistics.RESAMPLES)
 
 
@@ -260,7 +260,7 @@ def exact_permutation(spark, sf_dir):
 
 @query
 def exact_permutation_nations(spark, sf_dir):
-    """The whole table; without SQL."""
+    """The whole table."""
     return rounded(statistics.exact_permutation(_nations(spark, sf_dir), "n_nationkey", "x", "g"), "observed", "p")
 
 
@@ -278,7 +278,7 @@ def null_shuffle_hash(spark, sf_dir):
 
 @query
 def null_shuffle_hash_full(spark, sf_dir):
-    """At the reference's setting; without SQL."""
+    """At the usual setting."""
     return statistics.null_shuffle_hash(synthetic.votes(spark, sf_dir), statistics.RESAMPLES)
 
 
@@ -451,7 +451,7 @@ def confirmatory_table(spark, sf_dir):
 
 @query
 def pair_gates(spark, sf_dir):
-    return paired.pair_gates(gates.gated(gates.rates(_gate_scores(spark, sf_dir))), _pairs(spark))
+    return paired.pair_gates(gates.rates(_gate_scores(spark, sf_dir)), _pairs(spark))
 
 
 @query

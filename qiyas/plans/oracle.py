@@ -304,7 +304,7 @@ select {RUN}, t.n, round(em, 9) as em, round(e.low, 9) as em_low, round(e.high,
 select {rounded('label, prompt_style, mode, language, n, discordant, net', 'mean_a', 'mean_b', 'diff', 'p', 'p_holm', 'low', 'high')}, p_holm < 0.05 as significant from corrected join ci using (label, prompt_style, mode, language)""",
     "prompt_verdict": f"""with {RATES}, {GAPS}, {boot('gaps', 'model, prompt_style', 'd', 'ci')}, ok as (select model, prompt_style from rates group by all having count(distinct language) = 2 and max(empty_rate) <= 0.2)
 select model, count(*) as styles, case when count(*) < 2 then false else bool_and(low > 0) end as holds from ci join ok using (model, prompt_style) group by model""",
-    "pair_gates": f"""with {RATES}, {PAIRS_SQL}, g as (select *, case when empty_rate > 0.2 then 'empty' when example_echo_rate > 0.2 then 'example echo' when question_echo_rate > 0.2 then 'question echo' when recoverable_rate > 0.3 then 'extraction' end as gate from rates)
+    "pair_gates": f"""with {RATES}, {PAIRS_SQL}, g as (select *, case when example_echo_rate > 0.2 then 'example echo' when question_echo_rate > 0.2 then 'question echo' when recoverable_rate > 0.3 then 'extraction' end as gate from rates)
 select label, prompt_style, string_agg(distinct model || ' ' || language || ' ' || prompt_style || ' ' || gate, ', ' order by model || ' ' || language || ' ' || prompt_style || ' ' || gate) as failures from g join pairs on model in (base, tuned) where gate is not null group by label, prompt_style""",
     "error_shares": "",
     "format_contrast": f"""with {RUNS}, {CHOICES}, gaps as ({' union all '.join(f"select model, '{m.name}' as mode, item_id, chosen as a, em_{m.name} as b, chosen - em_{m.name} as d from choices join written using (model, item_id)" for m in MODES)}), {paired('select * from gaps', 'model, mode')}, {boot('gaps', 'model, mode', 'd', 'ci')}
@@ -322,3 +322,12 @@ select source, n, round(po, 9) as agreement, round(kappa, 9) as kappa, case when
     "prompt_texts": f"""with {ITEMS} select item_id, md5('Sual: Misir. Cavab: Qahir' || chr(10) || 'Sual: ' || question_az || chr(10) || 'A) ' || answer || chr(10) || 'B) ' || answer_en || chr(10) || 'C) x' || chr(10) || 'D) y' || chr(10) || 'Cavab:') as prompt_md5, 'Sual: Misir. Cavab: Qahir' || chr(10) || 'Sual: ' as prefix from items""",
 }
 ORACLES["error_shares"] = f"""with k as ({ORACLES['classify_errors']}) select {RUN}, error, n, round(n / sum(n) over (partition by {RUN}), 9) as share from k"""
+ORACLES["bootstrap_hash_full"] = ORACLES["bootstrap_hash"].replace("range(0, 200)", "range(0, 1000)")
+ORACLES["null_shuffle_hash_full"] = ORACLES["null_shuffle_hash"].replace("range(0, 20)", "range(0, 1000)")
+#: Of the subsets of the nations, how many have each size and sum: nation by nation.
+ORACLES["exact_permutation_nations"] = """with recursive v as (select row_number() over (order by n_nationkey) as i, n_nationkey * 37 % 11 as x, n_nationkey % 3 = 0 as g from nation),
+t as (select 0::bigint as i, 0 as k, 0 as s, 1::bigint as c
+  union all select i, k, s, sum(c)::bigint from (select t.i + 1 as i, t.k + b as k, t.s + b * v.x as s, t.c from t join v on v.i = t.i + 1 cross join (select unnest([0, 1]) as b)) group by i, k, s),
+o as (select count(*) as n, count(*) filter (g) as k, sum(x) as total, sum(x) filter (g) as inside from v),
+e as (select t.c, t.s / o.k - (o.total - t.s) / (o.n - o.k) as st, o.inside / o.k - (o.total - o.inside) / (o.n - o.k) as ob from t, o where t.i = o.n and t.k = o.k)
+select round(ob, 9) as observed, round(sum(c) filter (abs(st) >= abs(ob) - 1e-9) / sum(c), 9) as p, sum(c)::bigint as arrangements from e group by ob"""

@@ -65,3 +65,13 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = e.groupBy(F.col("event_type").alias("model"), F.col("user_id").alias("item_id")).agg(F.max("event_id").alias("_e"))
     letter = lambda c: F.substring(F.lit("ABCD"), (c % 4 + 1).cast("int"), F.lit(1))
     return last.select("model", "item_id", letter(F.col("_e")).alias("letter"), letter(F.col("item_id")).alias("key"))
+
+
+#: Declared pairs of a study (label, base, tuned, script, target, name of the base) and the percentage of right answers by model and
+#: language: az falls alone, both rise but en more, both fall but en more, en falls alone, or both alike.
+STUDY_PAIRS = (
+    ("a", "m0", "m1", "kiril", "qazax", "org/Qwen3-4B"), ("b", "m0", "m2", "latın", "türk", "org/gemma-3"), ("c", "m0", "m3", "kiril", "rus", "org/Llama-3"),
+    ("d", "m1", "m3", "latın", "macar", "lab/Mistral-7B"), ("e", "m1", "m2", "latın", "bask", "lab/Other"), ("f", "m2", "m1", "kiril", "qazax", "qwen/Phi-4"),
+    ("g", "m3", "m1", "kiril", "rus", "lab/qwen-2"), ("h", "m2", "m3", "latın", "fransız", "org/Falcon-1"),
+)
+SHARES = {("m0", "az"): 60, ("m0", "en"): 60, ("m1", "az"): 25, ("m1", "en"): 58, ("m2", "az"): 65, ("m2", "en"): 98, ("m3", "az"): 50, ("m3", "en"): 15}

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from qiyas.plans.catalogue import ORACLES, QUERIES
+from qiyas.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
