@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from qiyas.plans import catalogue, studies
+from qiyas.plans import catalogue, state, studies
 from qiyas.plans.catalogue import Query
 
-QUERIES: dict[str, Query] = catalogue.QUERIES | studies.QUERIES
-ORACLES: dict[str, str] = catalogue.ORACLES | studies.ORACLES
+QUERIES: dict[str, Query] = catalogue.QUERIES | studies.QUERIES | state.QUERIES
+ORACLES: dict[str, str] = catalogue.ORACLES | studies.ORACLES | state.ORACLES

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qiyas.functions.answers import excel_safe, letter_of
+from qiyas.sources import shared
 
 ITEM_SCHEMA = (
     "id string, question_az string, question_en string, answer string, answer_en string, answer_aliases array<string>, "
@@ -22,15 +23,25 @@ RUN_SCHEMA = (
 MCQ_SCHEMA = "id string, model string, condition string, subject string, max_new_tokens int, raw_response string"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines with file, line (from 1 in its file, blank lines counted) and error; malformed lines stay, with error set.
+def numbered_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """file, line (from 1 in its file, blank lines counted) and raw of text files of any size.
 
-    Line numbers need each file's lines in order, so a file is one split here; use it for drafts, not for logs.
+    A file is read by many tasks, each of which takes the lines that begin in its split. The lines are written once with their place in their
+    task; how many lines the splits before hold is a sum over one row a split.
     """
-    text = spark.read.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    rows = text.select("file", F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(F.trim("raw") != "")
+    lines = spark.read.option("pathGlobFilter", pattern).text(path)
+    at = (F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split"))
+    rows = shared.written(lines.select(*at, F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw")), "lines")
+    splits = rows.groupBy("_path", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_split")) - F.col("_n")
+    return rows.join(splits.withColumn("_before", before), ["_path", "_split"]).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), "raw")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Rows of JSON lines with file, line and error; malformed lines, as a torn last one, stay with error set, blank ones don't."""
+    rows = numbered_lines(spark, path, pattern).where(F.trim("raw") != "")
     parsed = rows.withColumn("_r", F.from_json("raw", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    return parsed.select("file", (F.col("line") + 1).alias("line"), "_r.*", F.col("_r._bad").alias("error")).drop("_bad")
+    return parsed.select("file", "line", "_r.*", F.col("_r._bad").alias("error")).drop("_bad")
 
 
 def unknown_fields(rows: DataFrame, raw: str, schema: str) -> DataFrame:
