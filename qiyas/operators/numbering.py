@@ -19,15 +19,15 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "number", fir
     An empty table stays empty.
     """
     spark = df.sparkSession
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    rows = shared.written(dealt, "numbered").withColumn("_range", F.shiftright("_at", 33))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place_in_range", F.monotonically_increasing_id())
+    rows = shared.written(dealt, "numbered").withColumn("_number_range", F.shiftright("_place_in_range", 33))
     before, total = [], first
-    for r in sorted(rows.groupBy("_range").agg(F.count("*").alias("n")).collect()):  # one row a partition
-        before.append((r["_range"], total))
+    for r in sorted(rows.groupBy("_number_range").agg(F.count("*").alias("n")).collect()):  # one row a partition
+        before.append((r["_number_range"], total))
         total += r["n"]
-    starts = spark.createDataFrame(before, "_range long, _before long")
-    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit(_LOW))
-    return rows.join(F.broadcast(starts), "_range").withColumn(name, number).drop("_range", "_at", "_before")
+    starts = spark.createDataFrame(before, "_number_range long, _number_before long")
+    number = F.col("_number_before") + F.col("_place_in_range").bitwiseAND(F.lit(_LOW))
+    return rows.join(F.broadcast(starts), "_number_range").withColumn(name, number).drop("_number_range", "_place_in_range", "_number_before")
 
 
 def turns(df: DataFrame, order: list[str | Column], n: int, name: str = "turn") -> DataFrame:

@@ -39,7 +39,7 @@ def failure_streaks(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").isin(*FAILING).alias("failed"))
     base = shared.new_path(spark, "streaks")
     path = _files_in_order(calls, "user_id", "event_id", base)
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 16).parquet(path)
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 256).parquet(path)
     found = failures.streaks(stream, "user_id", "event_id", "failed", LIMIT)
     write = lambda batch, _: batch.write.mode("append").parquet(f"{base}/log")
     found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
@@ -63,7 +63,7 @@ def review_upserts(spark, sf_dir):
     edits = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.floor("value").cast("long").alias("amount"))
     base = shared.new_path(spark, "reviews")
     path = _files_in_order(edits, "user_id", "event_id", base)
-    stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 64).parquet(path)
+    stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 256).parquet(path)
     snapshots.run(stream, "user_id", "event_id", _label, f"{base}/table", f"{base}/state").awaitTermination()
     return snapshots.Snapshots(spark, f"{base}/table").read().drop("checked")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qiyas.functions.answers import excel_safe, letter_of
+from qiyas.operators import numbering
 from qiyas.sources import shared
 
 ITEM_SCHEMA = (
@@ -101,8 +102,8 @@ def next_free_id(items: DataFrame) -> DataFrame:
 
 
 def numbered(items: DataFrame, order: list[str], start: int = 1) -> DataFrame:
-    """Adds id az-NNN in the order of columns; for curated tables, which are small."""
-    return items.withColumn("id", F.format_string("az-%03d", F.row_number().over(Window.orderBy(*order)) + start - 1))
+    """Adds id az-NNN in the order of columns, without one task for all rows."""
+    return numbering.numbered(items, order, "_number", start).withColumn("id", F.format_string("az-%03d", "_number")).drop("_number")
 
 
 def built(items: DataFrame, issues: DataFrame) -> DataFrame:
