@@ -30,6 +30,8 @@ from qiyas.llm import textbuf as tb
 
 #: Labelled rows of each label that are learned from, hashed features, latent dimensions.
 SAMPLE_DOCS, FEATURES, LATENT = 1500, 4096, 48
+#: Directions weaker than this share of the strongest are noise.
+NOISE = 1e-4
 #: Similarities count by this power, so near neighbours decide.
 SHARPNESS = 24.0
 BLOCK = 256
@@ -119,9 +121,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[DataFrame, float]:
     """_h, doc_id, label and text of at most ``size`` ids of each label of labels(doc_id, label), and the share of label 1 in all of them.
 
-    Equal rows of labels count once; of several texts of an id the least is taken, so there are at most 2 * size rows.
+    Only labels of ids that docs has count. Equal rows of labels count once; of several texts of an id the least is taken, so there are at most 2 * size rows.
     """
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("_h")).distinct()
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     cut = F.lit(0.0)
     for k, v in counts.items():
@@ -157,7 +160,10 @@ def fitted(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> Model
 
 
 def learn(labelled: list[tuple[str, int]], prior: float, latent: int = LATENT) -> Model | None:
-    """Singular vectors of the sample by randomised subspace iteration with a fixed seed."""
+    """Singular vectors of the sample by randomised subspace iteration with a fixed seed.
+
+    Directions of next to no weight are rounding noise and are left out, and signs are fixed, so that the model doesn't depend on how many threads fit it.
+    """
     if not labelled:
         return None
     texts, labels = pa.array([t for t, _ in labelled], pa.string()), np.array([y for _, y in labelled], np.int64)
@@ -167,12 +173,16 @@ def learn(labelled: list[tuple[str, int]], prior: float, latent: int = LATENT) -
     weight = np.log((1 + len(labels)) / (1 + seen)).astype(np.float32) + 0.1
     weight[:SHAPES] += 1.5  # form tells more than single words
     x = weighted(counts, weight)
+    x = x.astype(np.float64)
     k = min(latent, *x.shape)
-    q = np.random.default_rng(7).standard_normal((x.shape[1], k + 8)).astype(np.float32)
+    q = np.random.default_rng(7).standard_normal((x.shape[1], k + 8))
     for _ in range(6):
         q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
-    axes = (q @ v.T)[:, :k].astype(np.float32)
+    _, strength, v = np.linalg.svd(x @ q, full_matrices=False)
+    k = max(1, min(k, int((strength > NOISE * strength[0]).sum())))
+    axes = (q @ v.T)[:, :k]
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
+    axes = axes.astype(np.float32)
     ones = max(int(labels.sum()), 1)
     zeros = max(len(labels) - int(labels.sum()), 1)
     votes = np.where(labels == 1, prior / ones, (1 - prior) / zeros).astype(np.float32)

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -72,3 +75,31 @@ def test_repeated_labels_and_ids(spark):
     model = quality.fitted(docs, docs.select("doc_id", "label"), size=30)
     assert (model.vectors == quality.learn(found, prior).vectors).mean() > 0.9 and quality.fitted(docs.limit(0), docs.select("doc_id", "label")) is None
     assert sum(y for _, y in found) == 30 == sum(1 - y for _, y in found) and prior == 50 / 90
+
+
+THREADS = """
+import random, sys, numpy as np, pyarrow as pa
+from qiyas.llm import quality
+rng = random.Random(3)
+words = ["plain", "Words", "(here)", "end.", '"Quoted', "$$$", "and", "so", "on"]
+texts = [" ".join(rng.choice(words[: 3 + k % 7]) for _ in range(rng.randint(1, 40))) for k in range(400)]
+model = quality.learn([(t, k % 2) for k, t in enumerate(texts[:300])] + [(f"text {k} of copies", 1) for k in range(60)], 0.4)
+np.save(sys.argv[1], quality.vote(model, pa.array(texts)))
+"""
+
+
+def test_threads_do_not_change_scores(tmp_path):
+    found = []
+    for n in ("1", "4"):
+        env = os.environ | {"OMP_NUM_THREADS": n, "OPENBLAS_NUM_THREADS": n, "PYTHONPATH": os.getcwd()}
+        subprocess.run([sys.executable, "-c", THREADS, f"{tmp_path}/{n}.npy"], env=env, check=True, timeout=120)
+        found.append(np.load(f"{tmp_path}/{n}.npy"))
+    assert np.abs(found[0] - found[1]).max() <= 1e-6 and len(set(found[0].tolist())) > 100
+
+
+def test_labels_of_absent_ids_take_no_place(spark):
+    docs = spark.createDataFrame([(k, f"text {k} of some words", k % 2) for k in range(40)], "doc_id long, text string, label int")
+    labels = docs.select("doc_id", "label").union(spark.range(1000, 41000).select("id", (F.col("id") % 2).cast("int")))
+    rows, prior = quality.sampled(docs, labels, size=30)
+    assert rows.count() == 40 and prior == 0.5
+    assert quality.sampled(docs, labels, size=10)[0].count() == 20
