@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from qiyas.plans import catalogue, items, state, studies
+from qiyas.plans import catalogue, items, state, studies, vocabulary
 from qiyas.plans.catalogue import Query
 
-QUERIES: dict[str, Query] = catalogue.QUERIES | studies.QUERIES | state.QUERIES | items.QUERIES
-ORACLES: dict[str, str] = catalogue.ORACLES | studies.ORACLES | state.ORACLES | items.ORACLES
+QUERIES: dict[str, Query] = catalogue.QUERIES | studies.QUERIES | state.QUERIES | items.QUERIES | vocabulary.QUERIES
+ORACLES: dict[str, str] = catalogue.ORACLES | studies.ORACLES | state.ORACLES | items.ORACLES | vocabulary.ORACLES
