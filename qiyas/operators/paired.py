@@ -81,6 +81,18 @@ def pair_intervals(scores: DataFrame, language: str, resamples: int = 1000) -> D
     return compared(both, ["model_a", "model_b", "prompt_style"], "item_id", "em_a", "em_b", resamples)
 
 
+def control(scores: DataFrame, items: DataFrame, resamples: int = 1000) -> DataFrame:
+    """All pairs of models of a language and style on the items of a stratum, with intervals: az in every mode, en in the strict one, one Holm family."""
+    s = score_table(scores).join(items.select("item_id").distinct(), "item_id", "left_semi")
+    s = s.where((F.col("language") == "az") | ((F.col("language") == "en") & (F.col("mode") == "strict")))
+    key = ["language", "prompt_style", "mode", "mode_order", "item_id"]
+    a, b = (s.select(*key, F.col("model").alias(f"model_{x}"), F.col("em").alias(f"em_{x}")) for x in "ab")
+    group = ["model_a", "model_b", *key[:-1]]
+    out = compared(a.join(b, key).where("model_a < model_b"), group, "item_id", "em_a", "em_b", resamples)
+    out = holm(out.withColumn("_f", F.lit(1)), ["_f"], "p", ["language", "model_a", "model_b", "prompt_style", "mode_order"]).drop("_f", "mode_order")
+    return out.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
+
+
 def usable_styles(rates: DataFrame, most_empty: float = 0.20) -> DataFrame:
     """model and prompt_style of the styles in which both az and en have a run and neither is mostly empty. rates: output of ``gates.rates``."""
     ok = rates.groupBy("model", "prompt_style").agg(F.count_distinct("language").alias("_k"), F.max("empty_rate").alias("_e"))

@@ -85,10 +85,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").mode("errorifexists").json(path)
 
 
-def write_sheet(df: DataFrame, path: str) -> None:
-    """CSV whose text cells can't be taken for formulas."""
+def write_sheet(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV whose text cells can't be taken for formulas; with ``mark`` each file begins with a byte order mark, so that spreadsheets take it for UTF-8."""
     cells = [excel_safe(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields]
-    df.select(*cells).write.option("header", "true").mode("errorifexists").csv(path)
+    out = df.select(*cells)
+    if mark:
+        out = out.toDF("\ufeff" + out.columns[0], *out.columns[1:])
+    # the tab before a cell must stay
+    out.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").mode("errorifexists").csv(path)
 
 
 def run_file_name(model: str, language: str, style: str = "default") -> str:
