@@ -75,10 +75,19 @@ def nfkc(c: Column) -> Column:
     return F.when(c.rlike("[^\\x00-\\x7F]"), composed).otherwise(c)
 
 
+def reversed_suffixes(folded: bool) -> str:
+    """All strips of a token that is written backwards: up to STRIPS times the longest suffix that leaves a stem, see ``suffix_pattern``.
+
+    Read from its end a token meets its suffixes first, so nothing is tried that isn't one; what is found once isn't tried again.
+    """
+    table = str.maketrans(FOLD_FROM, FOLD_TO)
+    v = "".join(dict.fromkeys(VOWELS.translate(table) if folded else VOWELS))
+    s = "|".join(x[::-1] for x in sorted(dict.fromkeys(x.translate(table) if folded else x for x in SUFFIXES), key=len, reverse=True))
+    return f"^(?>(?:{s})(?=.{{{LEAST_STEM}}})(?=.*[{v}])){{1,{STRIPS}}}+"
+
+
 def strip_suffixes(token: Column, folded: bool = False) -> Column:
-    for _ in range(STRIPS):
-        token = F.regexp_replace(token, suffix_pattern(folded), "$1")
-    return token
+    return F.reverse(F.regexp_replace(F.reverse(token), reversed_suffixes(folded), ""))
 
 
 def punctuation_to_space(c: Column) -> Column:
@@ -106,7 +115,7 @@ def token_f1(a: Column, b: Column) -> Column:
 
     def score(s: Column) -> Column:
         a, b = s["a"], s["b"]
-        common = F.aggregate(F.transform(F.array_distinct(b), lambda t: F.least(count(a, t), count(b, t))), F.lit(0), lambda x, y: x + y)
+        common = F.aggregate(F.transform(F.array_intersect(b, a), lambda t: F.least(count(a, t), count(b, t))), F.lit(0), lambda x, y: x + y)
         p, r = common / F.size(a), common / F.size(b)
         empty = (F.size(a) == 0) | (F.size(b) == 0)
         return F.when(empty, ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")).when(common == 0, 0.0).otherwise(2 * p * r / (p + r))

@@ -12,6 +12,7 @@ from qiyas.functions.text import MODES, STRICT
 from qiyas.operators import curation, gates, paired, sampling, scoring, statistics
 from qiyas.operators.scoring import RUN
 from qiyas.plans import oracle, synthetic
+from qiyas.sources import shared
 from qiyas.streaming import append_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,11 +310,9 @@ def round_robin(spark, sf_dir):
 
 
 def _leaks(spark, sf_dir, passage: Column) -> DataFrame:
-    spaced = lambda c: F.concat(F.lit(" "), text.normalize(c, STRICT), F.lit(" "))
-    items = table(spark, sf_dir, "benchmark").select("item_id", spaced(passage).alias("needle")).where("needle <> '  '")
-    docs = table(spark, sf_dir, "documents").select("doc_id", spaced(F.col("text")).alias("n"))
-    # a stated set of needles against all rows
-    return docs.join(items, F.contains(F.col("n"), F.col("needle"))).select("doc_id", "item_id")
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.tokens(passage, STRICT).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text"), STRICT).alias("tokens"))
+    return curation.leaks(shared.written(docs, "tokens"), items)
 
 
 @query
@@ -324,7 +323,7 @@ def leak_check(spark, sf_dir):
 
 @query
 def leak_check_whole(spark, sf_dir):
-    """Whole benchmark texts; without SQL."""
+    """Whole benchmark texts."""
     return _leaks(spark, sf_dir, F.col("text"))
 
 
@@ -376,15 +375,7 @@ def resume_pending(spark, sf_dir):
 @query
 def stream_append_scores(spark, sf_dir):
     """The benchmark's items as a stream into an append-only log, then the log."""
-    import uuid
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="qiyas-"))
-        found = spark.sparkContext.getCheckpointDir()
-    base = f"{found}/append-{uuid.uuid4().hex}"
+    base = shared.new_path(spark, "append")
     items = synthetic.items(spark, sf_dir).select("item_id", "answer")
     items.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(items.schema).parquet(f"{base}/in")
@@ -420,7 +411,7 @@ def validate_items(spark, sf_dir):
 
 @query
 def validate_items_whole(spark, sf_dir):
-    """Whole texts as questions, but for the ninth word where that is the answer; without SQL."""
+    """Whole texts as questions, but for the ninth word where that is the answer."""
     w = F.split("text", "[ \\n]+")
     return curation.validate_items(_draft_rows(spark, sf_dir, F.filter(w, lambda _, i: (F.col("doc_id") % 10 == 0) | (i != 8))))
 

@@ -331,3 +331,5 @@ t as (select 0::bigint as i, 0 as k, 0 as s, 1::bigint as c
 o as (select count(*) as n, count(*) filter (g) as k, sum(x) as total, sum(x) filter (g) as inside from v),
 e as (select t.c, t.s / o.k - (o.total - t.s) / (o.n - o.k) as st, o.inside / o.k - (o.total - o.inside) / (o.n - o.k) as ob from t, o where t.i = o.n and t.k = o.k)
 select round(ob, 9) as observed, round(sum(c) filter (abs(st) >= abs(ob) - 1e-9) / sum(c), 9) as p, sum(c)::bigint as arrangements from e group by ob"""
+ORACLES["leak_check_whole"] = ORACLES["leak_check"].replace("array_to_string(string_split(text, ' ')[1:8], ' ')", "text")
+ORACLES["validate_items_whole"] = VALIDATE.replace("array_to_string(string_split_regex(text, '[ \\n]+')[1:6], ' ')", "array_to_string(list_filter(string_split_regex(text, '[ \\n]+'), lambda w, i: doc_id % 10 = 0 or i <> 9), ' ')")

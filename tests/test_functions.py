@@ -1,6 +1,7 @@
 """Literal cases of the text, answer and morphology functions, and brute force of the statistics."""
 
 import itertools
+import random
 import math
 
 import pytest
@@ -121,3 +122,29 @@ def test_choice_defects(spark):
     rows = [(1, "What is the capital city of France?", ["Rome", "Paris", "Oslo", "Bonn"], "B"), (2, "what is the capital city of france?", ["Rome", "Paris", "Oslo", "Bonn"], "B"), (3, "Short?", ["a", "a", "", "3,"], "E"), (4, "Is Paris the capital city of France?", ["Rome", "Paris", "Oslo", "Bonn"], "B")]
     got = {r.item_id: r.issues for r in curation.choice_defects(spark.createDataFrame(rows, "item_id int, question string, choices array<string>, letter string")).collect()}
     assert got == {1: [], 2: ["duplicate_question"], 3: ["bad_key", "empty_choice", "duplicate_choice", "comma_split", "too_short"], 4: ["answer_in_question"]}
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda n: [rng.choice("abc") for _ in range(n)]
+    docs = [(i, word(rng.randint(0, 40))) for i in range(60)] + [(100, None), (7, ["a", "b"])]
+    needles = [(i, word(n)) for i, n in enumerate((0, 1, 2, 3, 5, 8, 9, 12))] + [(50, docs[3][1]), (51, docs[9][1][:10] + ["x"]), (52, None)]
+    of = lambda rows, k: spark.createDataFrame(rows, f"{k} int, tokens array<string>")
+    got = [tuple(r) for r in curation.leaks(of(docs, "doc_id"), of(needles, "item_id"), anchor=4).collect()]
+    has = lambda d, n: any(d[i : i + len(n)] == n for i in range(len(d) - len(n) + 1))
+    assert sorted(got) == sorted({(i, j) for i, d in docs for j, n in needles if d and n and has(d, n)})
+    plan = curation.leaks(of(docs, "doc_id"), of(needles, "item_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert curation.leaks(of(docs, "doc_id"), of(needles, "item_id").limit(0)).count() == 0
+
+
+def test_suffixes_from_the_end_equal_one_after_another(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcçdeəfğıioöuüxz") for _ in range(rng.randint(1, 6))) + "".join(rng.choice(text.SUFFIXES) for _ in range(rng.randint(0, 5))) for _ in range(3000)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for folded in (False, True):
+        token = text.fold_diacritics(F.col("w")) if folded else F.col("w")
+        one = token
+        for _ in range(text.STRIPS):
+            one = F.regexp_replace(one, text.suffix_pattern(folded), "$1")
+        assert df.where(one != text.strip_suffixes(token, folded)).count() == 0 < df.where(one != token).count()
