@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from qiyas.operators import between, gates, paired, statistics
 from qiyas.plans import oracle, synthetic
 from qiyas.plans.catalogue import Query, _gate_scores, _nations, _scores, rounded
+from qiyas.sources import shared
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -21,13 +22,13 @@ def query(f: Query) -> Query:
     return f
 
 
-def _study_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _study_scores(scores: DataFrame) -> DataFrame:
     """The scores, but with shares of right answers that differ between models and languages as synthetic.SHARES says."""
     share = F.when(F.lit(False), 0)
     for (model, language), v in synthetic.SHARES.items():
         share = share.when((F.col("model") == model) & (F.col("language") == language), v)
     u = statistics.hash_uniform("item_id", "model", "language", "prompt_style", F.lit("study")) % 100
-    return _scores(spark, sf_dir).withColumn("em_strict", (u < share).cast("double"))
+    return scores.withColumn("em_strict", (u < share).cast("double"))
 
 
 def _declared(spark: SparkSession) -> DataFrame:
@@ -36,12 +37,14 @@ def _declared(spark: SparkSession) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each pair that passes its gates in each style, in points."""
+    """Each pair that passes its gates in each style, in points. Scores and pairs are written once, as several steps read them."""
     pairs = _declared(spark)
-    failed = paired.pair_gates(gates.rates(_gate_scores(spark, sf_dir)), pairs)
-    rows = paired.excess_damage(_study_scores(spark, sf_dir), pairs, failed=failed)
+    columns = ("model", "language", "prompt_style", "item_id", "question", "gold", "prefix", "raw_response", "prediction", "em_strict", "em_translit")
+    scores = shared.written(_gate_scores(spark, sf_dir).select(*columns), "scores")
+    failed = paired.pair_gates(gates.rates(scores), pairs)
+    rows = paired.excess_damage(_study_scores(scores), pairs, failed=failed)
     points = {c: 100 * F.col(c) for c in ("az_loss", "en_loss", "excess", "low", "high")}
-    return rows.withColumns(points).join(F.broadcast(pairs.select("label", "script", "target", "base_family")), "label")
+    return shared.written(rows.withColumns(points).join(F.broadcast(pairs.select("label", "script", "target", "base_family")), "label"), "measured")
 
 
 @query
