@@ -107,3 +107,14 @@ def test_questions_are_whole_texts(spark, folder):
     # 2 and 4 are equal, 11 and 12 but for the answer
     assert lines("duplicate question") == [4, 12]
     assert lines("occurs in the question") == [10]
+
+
+def test_shuffles_of_votes_are_not_broadcast(spark):
+    # models with items of their own, and fewer shuffles than blocks
+    rows = [(m, i, "ABCD"[(i * k) % 4], "ABCD"[i % 4]) for k, m in enumerate(("x", "y", "z"), 1) for i in range(k, 60, k)]
+    votes = spark.createDataFrame(rows, "model string, item_id long, letter string, key string")
+    got = statistics.null_shuffle_hash(votes, 30, blocks=7)
+    found = votes.collect()
+    assert {r["round"]: r.unanimous_wrong for r in got.collect()} == {r: shuffled(found, r) for r in range(30)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
