@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from qiyas.functions.text import STRICT
 from qiyas.operators import curation, facts, numbering
+from qiyas.plans import items
 
 URI = "http://www.wikidata.org/entity/"
 T = facts.Template("capital", "geography", "country", "capital", (("{subject_gen} paytaxtı hansıdır?", "what is the capital of {subject}?"), ("{subject_loc} paytaxt?", "{subject} has which capital?")), least_links=5)
@@ -122,3 +123,9 @@ def test_all_defects_and_balanced_places(spark):
     for n, (k, r) in enumerate(sorted(drafts.items())):
         assert r.id == f"tumlu-az-{3 + n}" and r.answer_letter == "ABCD"[n % 4] and r.choices[n % 4] == r.answer and len(set(r.choices)) == 4
     assert drafts[201].answer_aliases == ["5 kq"] and drafts[100].answer == "Roma" and STRICT.name == "strict"
+
+
+@pytest.mark.parametrize("name", ["filter_reasons", "filter_stats", "fact_items", "answer_skew"])
+def test_a_pattern_is_not_planned_again_for_each_table(spark, name):
+    plan = items.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 6  # a written table a template, and the row of its numbers
