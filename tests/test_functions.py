@@ -148,3 +148,9 @@ def test_suffixes_from_the_end_equal_one_after_another(spark):
         for _ in range(text.STRIPS):
             one = F.regexp_replace(one, text.suffix_pattern(folded), "$1")
         assert df.where(one != text.strip_suffixes(token, folded)).count() == 0 < df.where(one != token).count()
+
+
+def test_inflections_are_small_expressions(spark):
+    # copies of a word's expression in each form would fill the driver
+    sizes = {f.__name__: len(str(f(F.col("x")))) for f in (morphology.genitive, morphology.locative, morphology.all_forms, morphology.aliases_for)}
+    assert max(sizes.values()) < 10_000, sizes
