@@ -118,3 +118,14 @@ def test_shuffles_of_votes_are_not_broadcast(spark):
     assert {r["round"]: r.unanimous_wrong for r in got.collect()} == {r: shuffled(found, r) for r in range(30)}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Join" not in plan
+
+
+def test_queries_grow_with_their_tables(spark, tmp_path):
+    keys = [0, 1, 2, 3, 5, 5, 9, 49, 53, 2003, 2021, 2027]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k,) for k in (0, 30, 110, 111, 3000)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    # 2021 is 43 * 47
+    assert rows("primes") == [(2, 1, 3), (3, 2, 5), (5, 3, 53), (53, 4, 2003), (2003, 5, 2027), (2027, 6, None)]
+    assert rows("ordinal_suffix") == [("0", "ci"), ("110", "cu"), ("111", "ci"), ("30", "cu"), ("3000", "ci")]
+    assert rows("kappa_bands") == [(0, -0.1, "poor"), (30, 0.2, "fair"), (110, 1.0, "almost perfect"), (111, -0.1, "poor"), (3000, -0.07, "poor")]
