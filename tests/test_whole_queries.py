@@ -30,6 +30,12 @@ def test_exact_permutation_of_the_whole_table(spark):
     assert (got.observed, got.p, got.arrangements) == permuted([float(k * 37 % 11) for k in keys], [k % 3 == 0 for k in keys])
 
 
+def test_exact_permutation_leaves_no_nation_out(spark):
+    keys = sorted(r.n_nationkey for r in spark.read.parquet(f"{SF}/nation.parquet").collect())
+    (got,) = QUERIES["exact_permutation"](spark, SF).collect()
+    assert (got.observed, got.p, got.arrangements) == permuted([float(k * 37 % 11) for k in keys], [k % 3 == 0 for k in keys])
+
+
 @pytest.mark.parametrize("values", [[0.1 * k for k in range(18)], [1.5, -2.25, 1e6, 0.3, 0.3, -7.0, 2.0], [1.0] * 6])
 def test_counted_arrangements(values):
     inside = [k % 3 == 1 for k in range(len(values))]
