@@ -36,11 +36,10 @@ class Template:
     difficulty: str = "medium"
 
 
-def names(triples: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """node and name: a node's label in the first of the languages that it has one in; of several labels the least."""
+def name(languages: Sequence[str]) -> Column:
+    """Of a node's triples, the label in the first of the languages that it has one in; of several labels the least. A struct, null without a label."""
     place = F.array_position(F.array(*map(F.lit, languages)), F.col("lang"))
-    labels = triples.where((F.col("property") == LABEL) & F.col("lang").isin(*languages))
-    return labels.groupBy(F.col("subject").alias("node")).agg(F.min(F.struct(place.alias("_p"), F.col("object").alias("name"))).alias("_b")).select("node", F.col("_b.name").alias("name"))
+    return F.min(F.when((F.col("property") == LABEL) & F.col("lang").isin(*languages), F.struct(place.alias("place"), F.col("object").alias("name"))))
 
 
 def bindings(triples: DataFrame, template: Template, az: Sequence[str] = ("az",), en: Sequence[str] = ("en",), pool: DataFrame | None = None) -> DataFrame:
@@ -49,24 +48,26 @@ def bindings(triples: DataFrame, template: Template, az: Sequence[str] = ("az",)
     triples(subject, property, object, lang). The guard of single values looks at the whole table, so a subject whose other values would be filtered out later
     isn't taken for one with a single value. ``az`` and ``en`` are the languages whose labels serve, the first that a node has; ``pool`` limits the
     subjects to those of a table.
+
+    What a node is, its links and its names are gathered in one pass. All sides grow with the graph and look small when compressed, so no join may broadcast:
+    tables of names and facts built in the driver take its memory.
     """
     facts = triples.where(F.col("property") == template.prop).select("subject", F.col("object").alias("answer")).distinct()
     if template.one_value:
         facts = facts.groupBy("subject").agg(F.min("answer").alias("answer"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    if template.kind is not None:
-        kind = triples.where((F.col("property") == KIND) & (F.col("object") == template.kind)).select("subject")
-        facts = facts.join(kind, "subject", "left_semi")
     if pool is not None:
-        facts = facts.join(pool.select("subject"), "subject", "left_semi")
-    links = triples.where(F.col("property") == LINKS).groupBy("subject").agg(F.max(F.col("object").cast("long")).alias("links")).where(F.col("links") >= template.least_links)
-    found = facts.join(links, "subject")
-    named = {g: names(triples, languages) for g, languages in (("az", az), ("en", en))}
-    for g, of in named.items():
-        found = found.join(of.select(F.col("node").alias("subject"), F.col("name").alias(f"subject_{g}")), "subject")
-        if template.literal:
-            found = found.withColumn(f"answer_{g}", F.col("answer"))
-        else:
-            found = found.join(of.select(F.col("node").alias("answer"), F.col("name").alias(f"answer_{g}")), "answer")
+        facts = facts.join(pool.select("subject").hint("merge"), "subject", "left_semi")
+    names = {"az": name(az).alias("az"), "en": name(en).alias("en")}
+    links = F.max(F.when(F.col("property") == LINKS, F.col("object").cast("long"))).alias("links")
+    is_kind = F.lit(True) if template.kind is None else F.max((F.col("property") == KIND) & (F.col("object") == template.kind))
+    nodes = triples.where(F.col("property").isin(KIND, LINKS, LABEL)).groupBy("subject").agg(*names.values(), links, is_kind.alias("_kind"))
+    nodes = nodes.where(F.col("_kind") & (F.col("links") >= template.least_links) & F.col("az").isNotNull() & F.col("en").isNotNull())
+    found = facts.join(nodes.select("subject", *[F.col(f"{g}.name").alias(f"subject_{g}") for g in names], "links").hint("merge"), "subject")
+    if template.literal:
+        found = found.withColumns({f"answer_{g}": F.col("answer") for g in names})
+    else:
+        of = triples.where(F.col("property") == LABEL).groupBy(F.col("subject").alias("answer")).agg(*names.values()).where("az is not null and en is not null")
+        found = found.join(of.select("answer", *[F.col(f"{g}.name").alias(f"answer_{g}") for g in names]).hint("merge"), "answer")
     return found.select("subject", *[F.trim(c).alias(c) for c in ("subject_az", "subject_en", "answer_az", "answer_en")], "links")
 
 

@@ -32,7 +32,7 @@ def query(f: Query) -> Query:
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations, suppliers and parts as a graph, with labels of all kinds: Cyrillic, copied, in brackets, missing, within one another.
 
-    Written once: a pattern reads it seven times, and a plan that made it each time would take the driver's memory.
+    Written once: a pattern reads it three times, and a plan that made it each time would take the driver's memory.
     """
     node = lambda n: F.concat(F.lit(ENTITY), n.cast("string"))
     letter = lambda k: F.char(97 + k % 26)

@@ -51,6 +51,12 @@ def test_patterns(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_no_table_of_a_pattern_is_built_in_the_driver(spark):
+    for df in (facts.bindings(graph(spark), T), facts.bindings(graph(spark), T, pool=spark.createDataFrame([(URI + "Q1",)], "subject string"))):
+        assert set(found(df)) == {"Q1"}
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_values_without_names(spark):
     t = facts.Template("code", "world", "country", "code", T.wordings, literal=True)
     g = graph(spark, [(URI + "Q1", "code", " +33", None), (URI + "Q2", "code", "994", None), (URI + "Q2", "code", "99", None)])
